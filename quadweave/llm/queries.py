@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
-from .shared import documents
+from . import bpe, sharding, token_counts
+from .shared import documents, ship
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +20,27 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_sharding": op4_sharding}
+def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole text and of what they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text."""
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+def _shipped(query: Callable) -> Callable:
+    """The query, run with this package on the executors' path."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _shipped(f) for f in (op4_sharding, op6_bpe_codec, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
