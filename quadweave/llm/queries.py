@@ -9,8 +9,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, token_counts
-from .shared import documents, ship
+from . import bpe, fingerprints, sharding, token_counts
+from .shared import documents, ship, written
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited form, and their likeness."""
+    docs = documents(spark, sf_dir)
+    pairs = written(fingerprints.edits(docs), "op1-edits")
+    groups = fingerprints.resolve(pairs.select("id", "fp"), docs)
+    return pairs.drop("fp").join(groups, "id").select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        F.col("edited_fp").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "group_id",
+    )
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,5 +59,5 @@ def _shipped(query: Callable) -> Callable:
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op4_sharding, op6_bpe_codec, op10_token_counts)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_fingerprints, op4_sharding, op6_bpe_codec, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
