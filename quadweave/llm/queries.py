@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, sharding, token_counts
+from . import bpe, fingerprints, near_dedup, sharding, token_counts
 from .shared import documents, ship, written
 
 
@@ -37,6 +37,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates on three-word shingles at a similarity of 85 per cent."""
+    return near_dedup.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every whole text and of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -59,5 +64,30 @@ def _shipped(query: Callable) -> Callable:
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_fingerprints, op4_sharding, op6_bpe_codec, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_fingerprints, op4_sharding, op5_near_dedup, op6_bpe_codec, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_near_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id,
+         unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                     ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 85 * ((SELECT n FROM n WHERE n.doc_id = a.doc_id) + (SELECT n FROM n WHERE n.doc_id = b.doc_id) - count(*))),
+reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN comp c USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+}
