@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, near_dedup, sharding, token_counts
-from .shared import documents, ship, written
+from . import bpe, decontamination, fingerprints, language_id, near_dedup, sharding, token_counts
+from .shared import crc_remainder, documents, ship, written
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +49,19 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it contains."""
+    return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text; a fifth of the ids is held out."""
+    docs = documents(spark, sf_dir)
+    held_out = crc_remainder("doc_id", 5) == 0
+    model = language_id.learn(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole text."""
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
@@ -64,8 +78,57 @@ def _shipped(query: Callable) -> Callable:
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_fingerprints, op4_sharding, op5_near_dedup, op6_bpe_codec, op10_token_counts)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_fingerprints, op4_sharding, op5_near_dedup, op6_bpe_codec, op8_decontamination, op9_language_id, op10_token_counts)}
+def _valued_sql(text: str) -> str:
+    """DuckDB's form of ``decontamination.valued``."""
+    d = decontamination
+    out = f"' ' || translate(coalesce({text}, ''), chr(2) || chr(3) || chr(4), '') || ' '"
+
+    def steps(out: str, many: tuple) -> str:
+        for pattern, to in many:
+            to = re.sub(r"\$(\d)", r"\\\1", to)
+            out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+        return out
+
+    return f"trim({steps(f'lower({steps(out, d.STEPS_CASED)})', d.STEPS_FOLDED)})"
+
+
+def _decontamination_sql() -> str:
+    d = decontamination
+    pattern, to = d.STEP_TEMPLATE
+    template = f"regexp_replace(v, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    runs = f"unnest(range(1, greatest(len(w) - {d.WINDOW} + 1, 1) + 1))"
+    marked = f"('{d.NAME}', '{d.NUMBER}', '{d.UNIT}')"
+    return f"""
+WITH iv AS (SELECT DISTINCT item_id AS item, {_valued_sql("text")} AS v FROM benchmark),
+dv AS (SELECT DISTINCT doc_id AS id, {_valued_sql("text")} AS v FROM documents),
+iw AS (SELECT item, string_split(v, ' ') AS vs, string_split({template}, ' ') AS w FROM iv WHERE v <> ''),
+dw AS (SELECT id, string_split(v, ' ') AS vs, string_split({template}, ' ') AS w FROM dv WHERE v <> ''),
+ip AS (SELECT item, vs, w, {runs} AS ipos FROM iw),
+iq AS (SELECT item, ipos, list_slice(vs, ipos, ipos + {d.WINDOW} - 1) AS expected, list_slice(w, ipos, ipos + {d.WINDOW} - 1) AS piece, len(w) AS n FROM ip),
+items AS (
+  SELECT item, ipos, expected, array_to_string(piece, ' ') AS h FROM iq
+  WHERE len(list_filter(piece, lambda x: x NOT IN {marked})) >= {d.LITERALS} OR n < {d.WINDOW}),
+totals AS (SELECT item, count(DISTINCT ipos) AS windows FROM items GROUP BY item),
+dp AS (SELECT id, vs, w, {runs} AS pos FROM dw),
+dq AS (SELECT id, pos, list_slice(vs, pos, pos + {d.WINDOW} - 1) AS got, array_to_string(list_slice(w, pos, pos + {d.WINDOW} - 1), ' ') AS h FROM dp),
+found AS (SELECT id, item, ipos, pos - ipos AS shift, got, expected FROM dq JOIN items USING (h)),
+slots AS (SELECT id, item, shift, unnest(got) AS g, unnest(expected) AS e FROM found),
+bad AS (
+  SELECT DISTINCT id, item, shift FROM (
+    SELECT id, item, shift, e FROM slots WHERE substr(e, 1, 1) IN {marked} GROUP BY ALL HAVING count(DISTINCT g) > 1)),
+judged AS (SELECT f.id, f.item, f.ipos, f.shift, b.id IS NOT NULL AS bad FROM found f LEFT JOIN bad b USING (id, item, shift))
+SELECT id AS doc_id, j.item AS item_id, count(DISTINCT CASE WHEN NOT bad THEN ipos END) AS matched, any_value(t.windows) AS windows,
+       count(DISTINCT CASE WHEN bad THEN shift END) AS conflicts,
+       count(DISTINCT CASE WHEN NOT bad THEN ipos END)::double / any_value(t.windows) AS coverage
+FROM judged j JOIN totals t ON t.item = j.item
+GROUP BY id, j.item
+HAVING count(DISTINCT CASE WHEN NOT bad THEN ipos END)::double / any_value(t.windows) >= {d.COVERAGE}
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": _decontamination_sql(),
     "op5_near_dedup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
