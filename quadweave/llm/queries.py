@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, language_id, near_dedup, sharding, token_counts
-from .shared import crc_remainder, documents, ship, written
+from . import bpe, decontamination, fingerprints, language_id, near_dedup, quality, sharding, token_counts, toxicity
+from .shared import crc_remainder, documents, labels, ship, written
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,16 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text; a third of the ids is held out."""
+    docs = documents(spark, sf_dir)
+    known = labels(spark, sf_dir).where(crc_remainder("doc_id", 3) != 1)
+    model = toxicity.learn(docs, known)
+    return toxicity.classify(docs, model).select(
+        "doc_id", (crc_remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted"
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 39, near equal in bytes (law ``bytes``)."""
     return sharding.shard(documents(spark, sf_dir)).select(
@@ -49,6 +59,12 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text, learned without labels."""
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.learn(docs))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that it contains."""
     return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -78,7 +94,7 @@ def _shipped(query: Callable) -> Callable:
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_fingerprints, op4_sharding, op5_near_dedup, op6_bpe_codec, op8_decontamination, op9_language_id, op10_token_counts)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_fingerprints, op2_toxicity, op4_sharding, op5_near_dedup, op6_bpe_codec, op7_quality, op8_decontamination, op9_language_id, op10_token_counts)}
 def _valued_sql(text: str) -> str:
     """DuckDB's form of ``decontamination.valued``."""
     d = decontamination

@@ -47,8 +47,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 _TABLES: list = []
 
 
-def _chunk(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words of at most CHUNK bytes."""
+def _chunk(buffer: bytes, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of at most CHUNK bytes.
+
+    With ``prefixes``, a row of hashes per word: the word's, then those of its
+    first so many bytes, 0 where it has no more.
+    """
     if not _TABLES:
         _TABLES.extend(_tables())
     values, white, power, inverse = _TABLES
@@ -61,7 +65,16 @@ def _chunk(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     np.cumsum(values[raw] * power[: len(raw)], out=total[1:])
     hashes = (total[ends] - total[starts]) * inverse[starts]
     hashes += (ends - starts).astype(_U) * _U(0x8EBC6AF09C88C6E3)
-    return mix(hashes), starts, ends
+    hashes = mix(hashes)
+    if not prefixes:
+        return hashes, starts, ends
+    rows = np.zeros((len(starts), 1 + len(prefixes)), _U)
+    rows[:, 0] = hashes
+    for k, size in enumerate(prefixes, 1):
+        longer = np.flatnonzero(ends - starts > size)
+        at = starts[longer]
+        rows[longer, k] = mix((total[at + size] - total[at]) * inverse[at] + _U(size * 0x632BE59BD9B4E019 % (1 << 64)))
+    return rows, starts, ends
 
 
 def _long_word(word: bytes) -> int:
@@ -91,11 +104,13 @@ def _pieces(text: bytes) -> Iterable[bytes]:
     yield text[lo:]
 
 
-def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and offsets of each text's words (n + 1).
 
-    Empty texts have no words.  Memory is a few times the words' 8 bytes.
+    Empty texts have no words.  Memory is a few times the words' 8 bytes.  With
+    ``prefixes``, rows as ``_chunk`` gives them.
     """
+    shape = (0, 1 + len(prefixes)) if prefixes else (0,)
     found: list[np.ndarray] = []
     counts = np.zeros(len(texts) + 1, np.int64)
     with np.errstate(over="ignore"):
@@ -105,11 +120,15 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 for part in _pieces(texts[i]):
                     if len(part) > CHUNK:
                         head = part.lstrip(_WHITE)
-                        words = np.array([_long_word(head)], _U) if head else np.zeros(0, _U)
                         if len(head) <= CHUNK:
-                            words = _chunk(head)[0]
+                            words = _chunk(head, prefixes)[0]
+                        elif prefixes:
+                            words = _chunk(head[:CHUNK], prefixes)[0]
+                            words[0, 0] = _long_word(head)
+                        else:
+                            words = np.array([_long_word(head)], _U)
                     else:
-                        words = _chunk(part)[0]
+                        words = _chunk(part, prefixes)[0]
                     found.append(words)
                     counts[i + 1] += len(words)
                 i += 1
@@ -120,13 +139,13 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                 j += 1
             j = max(j, i + 1)
             joined = b" ".join(texts[i:j])
-            hashes, starts, _ = _chunk(joined)
+            hashes, starts, _ = _chunk(joined, prefixes)
             bounds = np.cumsum([len(t) + 1 for t in texts[i:j]])
             at = np.searchsorted(starts, bounds)
             counts[i + 1 : j + 1] = np.diff(at, prepend=0)
             found.append(hashes)
             i = j
-    return (np.concatenate(found) if found else np.zeros(0, _U)), np.cumsum(counts)
+    return (np.concatenate(found) if found else np.zeros(shape, _U)), np.cumsum(counts)
 
 
 def as_bytes(values: Iterable[str | None]) -> list[bytes]:
