@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, language_id, near_dedup, quality, sharding, token_counts, toxicity
+from . import bpe, decontamination, fingerprints, language_id, lm_scoring, near_dedup, quality, sharding, token_counts, toxicity
 from .shared import crc_remainder, documents, labels, ship, written
 
 
@@ -41,6 +41,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every whole text; a seventh of the ids is held out."""
+    docs = documents(spark, sf_dir)
+    held_out = crc_remainder("doc_id", 7) == 2
+    return lm_scoring.score(docs, docs.where(~held_out)).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 39, near equal in bytes (law ``bytes``)."""
     return sharding.shard(documents(spark, sf_dir)).select(
@@ -94,7 +103,7 @@ def _shipped(query: Callable) -> Callable:
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_fingerprints, op2_toxicity, op4_sharding, op5_near_dedup, op6_bpe_codec, op7_quality, op8_decontamination, op9_language_id, op10_token_counts)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_fingerprints, op2_toxicity, op3_lm_scoring, op4_sharding, op5_near_dedup, op6_bpe_codec, op7_quality, op8_decontamination, op9_language_id, op10_token_counts)}
 def _valued_sql(text: str) -> str:
     """DuckDB's form of ``decontamination.valued``."""
     d = decontamination
