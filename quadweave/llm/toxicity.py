@@ -21,7 +21,7 @@ from .textkit import as_bytes, hashed_words
 
 _U = np.uint64
 #: Labelled texts to fit on, at most, of each label; features kept; texts that a feature occurs in at least.
-SAMPLE, FEATURES, LEAST_TEXTS = 6000, 4096, 4
+SAMPLE, FEATURES, LEAST_TEXTS = 4000, 4096, 4
 #: Bytes of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6, 7)
 #: Strengths of the weight penalty and of the counterfactual penalty.
@@ -39,6 +39,8 @@ IDENTITY = (
 )
 
 
+#: Bits of the buckets by which features are sifted.
+_BUCKETS = 22
 #: ASCII signs other than letters and digits part words.
 _SIGNS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -116,6 +118,12 @@ def swaps(texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
     return sorted(found)
 
 
+def _strength(df: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """How far the texts with a feature differ from the labels' shares, in standard errors; 0 for rare features."""
+    expected = df * share
+    return np.where(df >= LEAST_TEXTS, np.abs(toxic - expected) / np.sqrt(expected * (1 - share) + 1), 0)
+
+
 def fit(texts: list[bytes], target: np.ndarray) -> Model:
     """The model for labelled texts; without both labels, a constant."""
     n = len(texts)
@@ -123,13 +131,25 @@ def fit(texts: list[bytes], target: np.ndarray) -> Model:
     bias = float(np.log((share * n + 1) / ((1 - share) * n + 1)))
     if n == 0 or not 0 < share < 1:
         return Model(np.zeros(0, _U), np.zeros(0), bias)
-    parts = [(lo + o, h) for lo, some in _slices(texts) for o, h in [_present(some)]]
+    # first by buckets of features, so that no more is held than what may matter
+    spots = np.zeros((2, 1 << _BUCKETS), np.int32)
+    for lo, some in _slices(texts):
+        o, h = _present(some)
+        spot = (h >> _U(64 - _BUCKETS)).astype(np.int64)
+        spots[0] += np.bincount(spot, minlength=1 << _BUCKETS).astype(np.int32)
+        spots[1] += np.bincount(spot, target[lo + o], minlength=1 << _BUCKETS).astype(np.int32)
+    promising = _strength(spots[0], spots[1], share) > 2
+    del spots
+    parts = [
+        (lo + o[mine], h[mine])
+        for lo, some in _slices(texts)
+        for o, h in [_present(some)]
+        for mine in [promising[(h >> _U(64 - _BUCKETS)).astype(np.int64)]]
+    ]
     owner, feature = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     names, back, df = np.unique(feature, return_inverse=True, return_counts=True)
     toxic = np.bincount(back, target[owner], minlength=len(names))
-    # how far a feature's texts differ from the labels' shares, in standard errors
-    expected = df * share
-    strength = np.where(df >= LEAST_TEXTS, np.abs(toxic - expected) / np.sqrt(expected * (1 - share) + 1), 0)
+    strength = _strength(df, toxic, share)
     keep = np.sort(np.argsort(-strength, kind="stable")[: min(FEATURES, int((strength > 2).sum()))])
     features = names[keep]
     number = np.full(len(names), -1)
