@@ -7,7 +7,8 @@ joins groups of copies without listing their pairs.  Then only members of one
 bucket that are still in different components are compared, in blocks.  Both
 steps drop pairs by *odd sketches*: the samples are folded into a parity bitmap,
 and the population count of two bitmaps' XOR bounds the share of samples in which
-they differ.  What is left is confirmed on the full shingle sets.
+they differ.  The second step adds a finer sketch of more samples, made for the
+members still in question.  What is left is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -20,16 +21,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components
 from .shared import written
 from .textkit import as_bytes, hashed_words, mix
 
 _U = np.uint64
-#: Bits of an odd sketch.
+#: Bits of an odd sketch; samples and bits of a fine one.
 SKETCH_BITS = 256
+FINE_SAMPLES, FINE_BITS = 1536, 2048
 #: Members of a bucket that are compared with each other in one block.
 BLOCK = 512
+#: Ids up to which they are sent to all executors (8 bytes each).
+BROADCAST_IDS = 1_000_000
 #: Bytes of text for which one worker holds shingles at a time.
 SLICE = 4 << 20
 
@@ -49,12 +54,20 @@ class Plan:
         share = percent / 100
         rows = 6 if percent >= 85 else 5 if percent >= 75 else 3
         bands = math.ceil(math.log(miss) / math.log1p(-(share**rows)))
-        samples = rows * bands
-        differ = samples * (1 - share)
-        toggles = 2 * min(samples, differ + 5 * math.sqrt(differ * share) + 1)
-        expect = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** toggles)
-        limit = min(SKETCH_BITS, math.ceil(expect + 5 * math.sqrt(expect / 2)))
-        return Plan(words, percent, rows, bands, limit)
+        return Plan(words, percent, rows, bands, sketch_limit(rows * bands, SKETCH_BITS, share))
+
+
+def sketch_limit(samples: int, bits: int, share: float) -> int:
+    """Differing bits that two sketches at the threshold exceed with odds of a few in ten million.
+
+    The samples that differ are binomial, and each flips one bit of either
+    sketch; five standard deviations of both effects together are allowed.
+    """
+    differ = samples * (1 - share)
+    stay = (1 - 2 / bits) ** (2 * differ)
+    by_samples = 2 * math.sqrt(differ * share) * stay
+    by_clashes = math.sqrt(bits * (1 - stay**2)) / 2
+    return min(bits, math.ceil(bits / 2 * (1 - stay) + 5 * math.hypot(by_samples, by_clashes)))
 
 
 def shingles(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -121,6 +134,24 @@ def signatures(sets: list[np.ndarray], plan: Plan) -> dict[str, np.ndarray]:
     return {"high": _signed(high), "low": _signed(low), "bands": _signed(bands), "bits": bits}
 
 
+def fine_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of FINE_BITS / 64 words for each non-empty set."""
+    n = len(sets)
+    starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
+    out = np.zeros((n, FINE_BITS), np.uint8)
+    line = np.arange(n)
+    with np.errstate(over="ignore"):
+        short = (mix(np.concatenate(sets) ^ _U(0x2545F4914F6CDD1D)) >> _U(32)).astype(np.uint32)
+        keys = mix(np.arange(1, 2 * FINE_SAMPLES + 1, dtype=_U) * _U(0xDA942042E4DD58B5)).astype(np.uint32)
+        work = np.empty_like(short)
+        for i in range(FINE_SAMPLES):
+            np.bitwise_xor(short, keys[i], out=work)
+            work *= keys[FINE_SAMPLES + i] | np.uint32(1)
+            least = np.minimum.reduceat(work, starts).astype(_U)
+            out[line, (mix(least + _U(i << 32)) % _U(FINE_BITS)).astype(np.int64)] ^= 1
+    return np.packbits(out, axis=1).view(np.int64)
+
+
 _SIGNATURE = "n long, high long, low long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
 
 
@@ -236,22 +267,45 @@ def near_duplicates(
     apart = (
         placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
     )
+
+    @F.pandas_udf("array<long>")
+    def fine(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for many in batches:
+            found = [np.asarray(x, np.int64).view(_U) for x in many]
+            out: list[np.ndarray] = []
+            i = 0
+            while i < len(found):
+                j, size = i, 0
+                while j < len(found) and (j == i or size + len(found[j]) <= SLICE // 8):
+                    size += len(found[j])
+                    j += 1
+                out += list(fine_sketches(found[i:j]))
+                i = j
+            yield pd.Series(out, dtype=object)
+
+    open_members = written(placed.join(apart.select("band"), "band", "left_semi"), "open-buckets")
+    open_ids = open_members.select("id").distinct()
+    finer = written(sets.join(open_ids, "id", "left_semi").select("id", fine("items").alias("f")), "fine-sketches")
+    marked = reps.join(open_ids, "id", "left_semi").select(*sketches, "bands").join(finer, "id")
     blocks = F.ceil(F.col("members") / block).cast("int")
     spread = (
-        placed.join(apart.select("band"), "band", "left_semi")
-        .join(light, "id")
+        open_members.join(marked, "id")
         .withColumn("blocks", blocks)
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
-        .select("band", "i", "j", "own", "root", *sketches)
+        .select("band", "i", "j", "own", "root", "f", "bands", *sketches)
     )
+    differ = F.aggregate(F.zip_with("x.f", "y.f", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    # a pair counts in the first band that it shares only
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
+    near = differ <= sketch_limit(FINE_SAMPLES, FINE_BITS, percent / 100)
     x, y = spread.alias("x"), spread.alias("y")
     same_block = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     meet_once = (F.col("x.own") != F.col("y.own")) | (F.col("x.i") == F.col("x.j"))
     second = (
-        x.join(y, same_block & meet_once & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _alike(plan))
+        x.join(y, same_block & meet_once & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _alike(plan) & near & once)
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()
     )
@@ -270,3 +324,24 @@ def near_duplicates(
             (F.col("id") == F.coalesce("root", "id")).alias("kept"),
         )
     )
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that stand for their component: its least id, once.
+
+    Repeated rows (same id and text) stay once.  The smaller the set of ids that
+    go, the cheaper: up to BROADCAST_IDS of them are sent to all executors,
+    beyond that both sides are shuffled.
+    """
+    gone = near_duplicates(docs, words, percent, id_col, text_col).where(~F.col("kept")).select(id_col).distinct()
+    gone = written(gone, "near-duplicates")
+    if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    left = docs.join(gone, id_col, "left_anti")
+    twice = written(left.groupBy(id_col).count().where("count > 1").select(id_col), "repeated-ids")
+    if twice.isEmpty():
+        return left.select(docs.columns)
+    mark = "row of repeated id"
+    order = Window.partitionBy(id_col, F.xxhash64(F.col(text_col).cast("string"))).orderBy(F.col(id_col))
+    repeated = left.join(twice, id_col, "left_semi").withColumn(mark, F.row_number().over(order)).where(F.col(mark) == 1)
+    return left.join(twice, id_col, "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns))
