@@ -20,7 +20,7 @@ from .shared import written
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
 #: Benchmark windows up to which they are sent to all executors (about 40 bytes each); beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 1_000_000
-#: Documents with slots up to which their ids are sent to all executors (8 bytes each).
+#: Ids of documents up to which they are sent to all executors (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
 #: Markers of names, numbers and units.
@@ -167,4 +167,7 @@ def leaks(
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
     """The rows of ``docs``, with all their columns, that contain no benchmark item."""
-    return docs.join(leaks(docs, benchmark, id_col=id_col, **options).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+    found = written(leaks(docs, benchmark, id_col=id_col, **options).select(id_col).distinct(), "leaks")
+    if found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        found = F.broadcast(found)
+    return docs.join(found, id_col, "left_anti").select(docs.columns)
