@@ -68,23 +68,24 @@ def apportion_frame(counts: DataFrame, name: str, count: str, total: int) -> Dat
     return dealt.withColumn("quota", F.col("_q") + F.when(rank <= left, 1).otherwise(0)).drop("_all", "_q", "_r")
 
 
-def shuffled(df: DataFrame, key: Column, seed: int, tie: Sequence[Column] = ()) -> DataFrame:
-    """The rows with ``rank``, from 0, in the order of a seeded hash of the key.
+def shuffled(
+    df: DataFrame, key: Column, seed: int, tie: Sequence[Column] = (), within: Sequence[str] = (), buckets: int = BUCKETS
+) -> DataFrame:
+    """The rows with ``rank``, from 0 (in each group ``within``), in the order of a seeded hash of the key.
 
     Ranks are exact without one global sort: rows are ranked within buckets of
     the hash, and each bucket's offset comes from the counts of those before it.
+    ``buckets`` is a power of 16; there are at most that many offsets per group.
     """
-    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary"))).withColumn(
-        "_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
-    )
-    counts = sorted((r["_b"], r["n"]) for r in hashed.groupBy("_b").agg(F.count("*").alias("n")).collect())  # BUCKETS rows at most
-    offsets, at = [], 0
-    for b, n in counts:
-        offsets.append((b, at))
-        at += n
-    small = df.sparkSession.createDataFrame(offsets, "_b int, _at long")
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *tie)) - 1
-    return hashed.withColumn("_r", inside).join(F.broadcast(small), "_b").withColumn("rank", F.col("_at") + F.col("_r")).drop("_h", "_b", "_r", "_at")
+    digits = (buckets - 1).bit_length() // 4
+    group = [F.col(c) for c in within]
+    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary"))).withColumn("_b", F.substring("_h", 1, digits))
+    sizes = hashed.groupBy(*within, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", *tie)) - 1
+    ranked = hashed.withColumn("_r", inside).join(F.broadcast(offsets), [*within, "_b"])
+    return ranked.withColumn("rank", F.col("_at") + F.col("_r")).drop("_h", "_b", "_r", "_at")
 
 
 @dataclass(frozen=True)

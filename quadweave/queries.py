@@ -475,14 +475,14 @@ pieces AS (SELECT a.*, CASE WHEN c.skew > {THRESHOLD} AND c.row_count > 1 THEN C
 @query(f"{_PIECES} SELECT partition_id, subpartition_id, count(*) AS row_count FROM pieces GROUP BY ALL")
 def hot_split_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Tasks after hot partitions are split evenly."""
-    return partition.tasks(partition.split_hot(_assigned(spark, d, hot=True), K, THRESHOLD, FACTOR, [F.col(c) for c in fx.KEYS]))
+    return partition.tasks(partition.split_hot(_assigned(spark, d, hot=True), K, THRESHOLD, FACTOR, fx.KEYS))
 
 
 @query(f"""{_PIECES}, t AS (SELECT partition_id, subpartition_id, count(*) AS row_count FROM pieces GROUP BY ALL)
 SELECT least(4, count(*) FILTER (WHERE row_count > 0)) AS barrier FROM t""")
 def barrier_size(spark: SparkSession, d: str) -> DataFrame:
     """Tasks that must be ready before commits begin."""
-    split = partition.split_hot(_assigned(spark, d, hot=True), K, THRESHOLD, FACTOR, [F.col(c) for c in fx.KEYS])
+    split = partition.split_hot(_assigned(spark, d, hot=True), K, THRESHOLD, FACTOR, fx.KEYS)
     return partition.barrier_size(partition.tasks(split), 4)
 
 

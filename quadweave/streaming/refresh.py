@@ -11,15 +11,21 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.commit import first_report
 
 
+def _timed(df: DataFrame, at: str) -> DataFrame:
+    """Event times as timestamps; watermarks don't take those without a zone."""
+    return df.withColumn(at, F.col(at).cast("timestamp"))
+
+
 def first_reports(reports: DataFrame, task: str, at: str, delay: str = "1 hour") -> DataFrame:
     """A stream of task reports without repeats that come within the delay."""
-    return reports.withWatermark(at, delay).dropDuplicatesWithinWatermark([task])
+    return _timed(reports, at).withWatermark(at, delay).dropDuplicatesWithinWatermark([task])
 
 
 def windowed_counts(events: DataFrame, at: str, by: str, length: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Events and their summed value per window and kind; a window is final once the watermark passes it."""
     return (
-        events.withWatermark(at, delay)
+        _timed(events, at)
+        .withWatermark(at, delay)
         .groupBy(F.window(at, length), by)
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
         .select(F.col("window.start").alias("window_start"), by, "n", "total")
