@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .merges import merge
+from .shared import tidied
 
 #: Bounds of a worker's memory: transducer transitions, pair checks, encoded pre-tokens.
 TRANSITIONS, PAIRS, CACHE = 500_000, 400_000, 600_000
@@ -243,6 +244,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """
 
     @F.pandas_udf("array<int>")
+    @tidied
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, pattern)
         for texts in batches:
@@ -255,6 +257,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """id and ``text`` per input row of ids; null ids give an empty text, malformed UTF-8 becomes U+FFFD."""
 
     @F.pandas_udf("string")
+    @tidied
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(path, pattern)
         for many in batches:
@@ -271,6 +274,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @tidied
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)
         for texts in batches:

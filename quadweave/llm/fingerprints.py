@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import shuffle_parts, written
+from .shared import shuffle_parts, tidied, written
 
 #: Bits of the filter for repeated hashes (six hex digits); its 2 MB don't depend on the data.
 FILTER_BITS = 1 << 24
@@ -46,6 +46,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``id`` and ``fp`` of each row, before buckets are compared."""
 
     @F.pandas_udf("string")
+    @tidied
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([digest(canonical(t)) for t in texts], dtype=object)
@@ -76,6 +77,7 @@ def resolve(hashed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     shared = spark.sparkContext.broadcast(spots.reshape(-1))
 
     @F.pandas_udf("fp string, canon binary")
+    @tidied
     def again(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bits = shared.value
         for texts in batches:
@@ -159,6 +161,8 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         .sortWithinPartitions("id", "text")
     )
 
+    @tidied
+
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         held = head = None

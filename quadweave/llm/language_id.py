@@ -16,7 +16,8 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .shared import draw, tidied
 
 #: Bytes of a language's dictionary, texts drawn to fill it, and languages at most.
 DICTIONARY_BYTES, SAMPLE_TEXTS, MAX_LANGUAGES = 8 << 10, 64, 500
@@ -43,16 +44,15 @@ def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     """A dictionary's content per language, from rows with text and language.
 
     Per language, at most SAMPLE_TEXTS whole texts of at most DICTIONARY_BYTES
-    are drawn in hash order of ``key`` (bounded before the shuffle), and taken
+    are drawn in hash order of ``key`` (thinned out before the shuffle), and taken
     while they fit.  Ties in hash order go to the smaller text.  Languages with
-    no such text are not learned.  At most MAX_LANGUAGES languages are allowed.
+    no such text are not learned, nor those beyond the MAX_LANGUAGES most frequent.
     """
     text = F.col(text_col).cast("string")
     rows = training.select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(key)).alias("h")).where(
         "text is not null and lang is not null and octet_length(text) between 32 and " + str(DICTIONARY_BYTES)
     )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    drawn = rows.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_TEXTS).limit(MAX_LANGUAGES * SAMPLE_TEXTS).collect()
+    drawn = draw(rows, "lang", SAMPLE_TEXTS, ["text"], MAX_LANGUAGES).collect()
     out: dict[str, bytes] = {}
     for row in sorted(drawn, key=lambda r: (r.lang, r.rank)):
         content = letters(row.text)
@@ -113,6 +113,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", te
     fixed = frozen(model)
 
     @F.pandas_udf("lang_pred string, score double, margin double, rejected boolean")
+    @tidied
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([predict_one(t, fixed, margin) for t in texts], columns=["lang_pred", "score", "margin", "rejected"])
@@ -125,6 +126,7 @@ def keep(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", margi
     fixed = frozen(model)
 
     @F.pandas_udf("boolean")
+    @tidied
     def sure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([not predict_one(t, fixed, margin)[3] for t in texts], dtype=bool)

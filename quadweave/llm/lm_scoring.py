@@ -20,17 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_parts, written
+from .shared import shuffle_parts, tidied, written
 from .textkit import as_bytes, hashed_words, mix
 
 _U = np.uint64
 #: Context bytes of the predictors, and the bits of their tables (a fixed size, whatever the corpus).
 #: The last predictor's context is the word so far, as much of it as LONGEST bytes hold.
-ORDERS, TABLE_BITS = (1, 2, 3, 4, 6), (16, 18, 20, 21, 23, 22)
+ORDERS, TABLE_BITS = (1, 2, 4, 5), (16, 18, 21, 22, 22)
 PREDICTORS = len(ORDERS) + 1
 LONGEST = max(ORDERS)
 #: Slots in a block of a table, which is the unit that tasks exchange; partial tables summed at once.
@@ -38,15 +39,15 @@ BLOCK_BITS, FAN_IN = 15, 256
 #: Partitions of the input that one task counts together: partial tables grow with the input, but a few times fewer.
 COALESCE = 4
 #: Bytes of text in a batch of windows.
-SLICE = 12 << 20
-#: Bytes of training text, and of one text, that the mixer learns from.
-MIXER_BYTES, MIXER_TEXT = 1 << 20, 32 << 10
+SLICE = 5 << 20
+#: Bytes of training text, of one text, and texts that the mixer learns from, at most.
+MIXER_BYTES, MIXER_TEXT, MIXER_TEXTS = 1 << 20, 32 << 10, 600
 #: Words whose counts are sent to all executors, at most; the others are joined.
 FREQUENT = 1 << 20
 END = 1  # stands for the end token among word hashes
-#: Gate: steps in how often the word so far and the contexts of orders 6 and 3 were seen.
+#: Gate: steps in how often the word so far and the contexts of orders 5 and 4 were seen.
 GATES = 4 * 4 * 3
-GATING = (2, 4, 5)
+GATING = (2, 3, 4)
 #: Times that the mixer goes over its texts.
 PASSES = 2
 MAP_STEPS = 33
@@ -59,34 +60,34 @@ def normalised(raw: bytes) -> bytes:
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A key per predicted byte (its LONGEST predecessors and itself), and each text's number of bytes."""
-    pad = b"\n" * LONGEST
     parts = [normalised(t) for t in texts]
     sizes = np.array([len(p) for p in parts], np.int64)
-    raw = np.frombuffer(pad + pad.join(parts), np.uint8).astype(_U)
-    n = len(raw) - LONGEST
-    keys = np.zeros(n, _U)
-    for k in range(LONGEST + 1):
-        keys <<= _U(8)
-        keys |= raw[k : k + n]
-    wanted = np.ones(n, bool)
-    ends = np.cumsum(sizes + LONGEST)[:-1]
-    for k in range(1, LONGEST + 1):
-        wanted[ends - k] = False
-    return keys[wanted], sizes
+    raw = b"\n" * 7 + (b"\n" * LONGEST).join(parts)
+    # eight bytes from every place at once, the predicted byte last
+    n = len(raw) - 7
+    keys = np.ndarray((n,), ">u8", raw, 0, (1,)).astype(_U)
+    keys &= _U((1 << 8 * (LONGEST + 1)) - 1)
+    starts = np.cumsum(sizes + LONGEST) - sizes - LONGEST
+    change = np.zeros(n + 1, np.int8)
+    change[starts] = 1
+    change[starts + sizes] = -1
+    return keys[np.cumsum(change[:n], dtype=np.int8).astype(bool)], sizes
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys with repeats merged (all but a few that clash in a hash), and each position's number in them."""
     bits = max(8, int(len(keys)).bit_length())
-    slot = ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)).astype(np.int64)
+    slot = ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - bits)).astype(np.int32)
     last = np.zeros(1 << bits, np.int32)
     place = np.arange(len(keys), dtype=np.int32)
     last[slot] = place
     rep = last[slot]
-    rep = np.where(keys[rep] == keys, rep, place)
+    del slot, last
+    np.copyto(rep, place, where=keys[rep] != keys)
     mark = np.zeros(len(keys), bool)
     mark[rep] = True
-    number = np.cumsum(mark) - 1
+    number = np.cumsum(mark, dtype=np.int32)
+    number -= 1
     return keys[mark], number[rep]
 
 
@@ -246,8 +247,11 @@ def learn_mixer(tables: list[np.ndarray], texts: list[bytes], step: int = 2048)
                 mean = np.where(hits > 0, goal / np.maximum(hits, 1), refine)
                 refine += ((mean - refine) * (1 - 0.99**hits)).astype(np.float32)
     refine = np.clip(refine, 1e-5, 1 - 1e-5)
-    odds = [np.clip(_log_odds(t[::2], t[1::2]), -24, 24).astype(np.float16) for t in tables]
-    levels = [_level(t[::2] + t[1::2]) if i in GATING else np.zeros(0, np.uint8) for i, t in enumerate(tables)]
+    odds = [
+        np.concatenate([_log_odds(t[lo : lo + (1 << 18) : 2], t[lo + 1 : lo + (1 << 18) : 2]).astype(np.float16) for lo in range(0, len(t), 1 << 18)])
+        for t in tables
+    ]
+    levels = [_level(t.reshape(-1, 2).sum(axis=1)) if i in GATING else np.zeros(0, np.uint8) for i, t in enumerate(tables)]
     return Model(odds, levels, weights, refine)
 
 
@@ -262,9 +266,10 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         i = j
 
 
-def text_bits(texts: list[bytes], model: Model) -> np.ndarray:
-    """Total bits of each whole text, its end included."""
+def text_bits(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Total bits of each whole text, its end included, and its bytes."""
     out = np.zeros(len(texts))
+    length = np.zeros(len(texts), np.int64)
     for lo, some in _slices(texts):
         keys, sizes = windows(some)
         some_keys, number = distinct(keys)
@@ -272,7 +277,8 @@ def text_bits(texts: list[bytes], model: Model) -> np.ndarray:
         total = np.concatenate(([0.0], np.cumsum(cost)))
         ends = np.cumsum(sizes)
         out[lo : lo + len(some)] = total[ends] - total[ends - sizes]
-    return out
+        length[lo : lo + len(some)] = sizes
+    return out, length
 
 
 _BLOCKS = "part long, o int, block int, counts binary"
@@ -286,17 +292,19 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), np.float32)
 
 
-def gather(training: DataFrame) -> list[np.ndarray]:
-    """The tables of all training texts (one column ``text``).
+def gather(training: DataFrame) -> DataFrame:
+    """The tables of all training texts (one column ``text``), in blocks.
 
     Every task sends the blocks that it filled; blocks are summed by key, at
-    most FAN_IN of them at a time, and the sums, of fixed size, come to the driver.
+    most FAN_IN of them at a time.  The sums' size is fixed.
     """
     spark = training.sparkSession
     before = training.rdd.getNumPartitions()
     tasks = max(1, -(-before // COALESCE))
     width = 2 << BLOCK_BITS
 
+    @tidied
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = empty_tables()
         any_text = False
@@ -311,6 +319,8 @@ def gather(training: DataFrame) -> list[np.ndarray]:
             full = np.flatnonzero(blocks.any(axis=1))
             yield pd.DataFrame({"part": part, "o": o, "block": full, "counts": [_pack(blocks[b]) for b in full]})
 
+    @tidied
+
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple[int, int, int], np.ndarray] = {}
         for batch in batches:
@@ -331,21 +341,65 @@ def gather(training: DataFrame) -> list[np.ndarray]:
         left = -(-left // FAN_IN)
         if left <= 1:
             break
-    tables = empty_tables()
-    for row in written(partial, "lm-tables").toLocalIterator():
-        block = _unpack(row.counts)
-        tables[row.o][row.block * len(block) : (row.block + 1) * len(block)] += block
-    return tables
+    return written(partial, "lm-tables")
+
 
+_PART = "name string, at int, size int, content binary"
 
-def _words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the texts, and offsets."""
-    return hashed_words(raw)
+
+def learn(training: DataFrame) -> Model:
+    """The model of all training texts (one column ``text``).
+
+    The tables, of fixed size, and at most MIXER_BYTES of whole texts, drawn in
+    hash order, meet in one task that learns the mixer; the driver gets the
+    model, again of fixed size.
+    """
+    size = F.octet_length("text")
+    drawn = (
+        training.where((size > 0) & (size <= MIXER_TEXT))
+        .select("text", F.xxhash64("text").alias("h"))
+        .orderBy("h", "text")
+        .limit(MIXER_TEXTS)
+        .select(F.lit(-1).alias("o"), F.lit(0).alias("block"), F.col("text").cast("binary").alias("counts"))
+    )
+    rows = written(gather(training).select("o", "block", "counts").unionByName(drawn), "lm-learning")
+
+    @tidied
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables, texts = empty_tables(), []
+        for batch in batches:
+            for o, block, counts in zip(batch["o"], batch["block"], batch["counts"], strict=True):
+                if o < 0:
+                    texts.append(counts)
+                    continue
+                got = _unpack(counts)
+                tables[o][block * len(got) : (block + 1) * len(got)] += got
+        some, room = [], MIXER_BYTES
+        for text in sorted(texts, key=lambda t: (xxhash.xxh64_intdigest(t), t)):
+            if len(text) <= room:
+                some.append(text)
+                room -= len(text)
+        model = learn_mixer(tables, some)
+        parts = [("weights", 0, model.weights), ("refine", 0, model.refine)]
+        parts += [("odds", i, a) for i, a in enumerate(model.odds)] + [("levels", i, a) for i, a in enumerate(model.levels)]
+        for name, at, a in parts:
+            yield pd.DataFrame({"name": [name], "at": [at], "size": [a.size], "content": [a.tobytes()]})
+
+    got = {(r.name, r.at): r.content for r in written(rows.coalesce(1).mapInPandas(run, _PART), "lm-model").toLocalIterator()}
+    return Model(
+        [np.frombuffer(got["odds", i], np.float16) for i in range(PREDICTORS)],
+        [np.frombuffer(got["levels", i], np.uint8) for i in range(PREDICTORS)],
+        np.frombuffer(got["weights", 0], np.float32).reshape(GATES, PREDICTORS + 1),
+        np.frombuffer(got["refine", 0], np.float32),
+    )
 
 
 def vocabulary(training: DataFrame) -> DataFrame:
     """``w`` and ``c``: every token's count in the training texts, the end token's included."""
 
+    @tidied
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = texts = 0
@@ -357,8 +411,8 @@ def vocabulary(training: DataFrame) -> DataFrame:
 
         for batch in batches:
             for _, some in _slices(as_bytes(batch["text"])):
-                names, counts = np.unique(_words(some)[0], return_counts=True)
-                held.append((names, counts))
+                names, number = distinct(hashed_words(some)[0])
+                held.append((names, np.bincount(number, minlength=len(names))))
                 size += len(names)
                 texts += len(some)
                 if size > 4_000_000:
@@ -387,16 +441,7 @@ def score(
     """
     spark = docs.sparkSession
     learned = training.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    tables = gather(learned)
-    size = F.octet_length("text")
-    drawn = learned.where((size > 0) & (size <= MIXER_TEXT)).withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(600).collect()
-    texts, room = [], MIXER_BYTES
-    for raw in as_bytes(r.text for r in drawn):
-        if len(raw) <= room:
-            texts.append(raw)
-            room -= len(raw)
-    model = spark.sparkContext.broadcast(learn_mixer(tables, texts))
-    del tables
+    model = spark.sparkContext.broadcast(learn(learned))
 
     vocab = written(vocabulary(learned), "lm-vocabulary")
     total = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -409,13 +454,21 @@ def score(
         if words > FREQUENT:
             break
         least = k
-    frequent = vocab.where(F.col("c") >= 2.0**least).toPandas()
-    order = np.argsort(frequent["w"].to_numpy(np.int64).view(_U))
-    known = spark.sparkContext.broadcast(
-        (frequent["w"].to_numpy(np.int64).view(_U)[order].copy(), frequent["c"].to_numpy(np.float64)[order])
-    )
+
+    @tidied
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"w": [b["w"].to_numpy(np.int64).tobytes()], "c": [b["c"].to_numpy(np.int64).tobytes()]})
+
+    packed = vocab.where(F.col("c") >= 2.0**least).mapInPandas(pack, "w binary, c binary").collect()
+    names = np.frombuffer(b"".join(r.w for r in packed), _U)
+    order = np.argsort(names)
+    known = spark.sparkContext.broadcast((names[order], np.frombuffer(b"".join(r.c for r in packed), np.int64)[order].astype(float)))
+    del packed, names, order
 
     @F.pandas_udf("n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, times array<int>")
+    @tidied
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names, counts = known.value
         logs = np.log10(counts + 1)
@@ -423,13 +476,14 @@ def score(
         for batch in batches:
             parts = []
             raw = as_bytes(batch)
-            bits = text_bits(raw, model.value)
+            bits, length = text_bits(raw, model.value)
             for lo, some in _slices(raw):
-                hashes, offsets = _words(some)
+                hashes, offsets = hashed_words(some)
                 owner = np.repeat(np.arange(len(some)), np.diff(offsets))
-                if len(names):
-                    place = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
-                    hit = names[place] == hashes
+                if len(names) and len(hashes):
+                    words, number = distinct(hashes)
+                    found = np.minimum(np.searchsorted(names, words), len(names) - 1)
+                    place, hit = found[number], (names[found] == words)[number]
                 else:
                     place, hit = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
                 base = np.bincount(owner[hit], logs[place[hit]], minlength=len(some)) + end_log
@@ -448,7 +502,7 @@ def score(
                             "n_known": seen.astype(np.int64),
                             "base": base,
                             "score": -bits[lo : lo + len(some)] * np.log10(2.0),
-                            "n_bytes": [len(normalised(t)) for t in some],
+                            "n_bytes": length[lo : lo + len(some)],
                             "rare": rare,
                             "times": times,
                         }

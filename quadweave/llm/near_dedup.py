@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import written
+from .shared import tidied, written
 from .textkit import as_bytes, hashed_words, mix
 
 _U = np.uint64
@@ -157,6 +157,7 @@ _SIGNATURE = "n long, high long, low long, bands array<long>, s0 long, s1 long,
 
 def _signature_table(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> DataFrame:
     @F.pandas_udf(_SIGNATURE)
+    @tidied
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             raw = as_bytes(texts)
@@ -237,6 +238,7 @@ def near_duplicates(
     light = written(reps.select(*sketches).join(involved, "id", "left_semi"), "sketches")
 
     @F.pandas_udf("array<long>")
+    @tidied
     def items(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([_signed(s) for s in shingles(as_bytes(texts), words)], dtype=object)
@@ -269,6 +271,7 @@ def near_duplicates(
     )
 
     @F.pandas_udf("array<long>")
+    @tidied
     def fine(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for many in batches:
             found = [np.asarray(x, np.int64).view(_U) for x in many]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import tidied, written
 from .textkit import as_bytes
 
 #: Texts that the scorer is fitted on, in expectation; slots of its hashed features; steps of its descent.
@@ -198,11 +198,13 @@ def learn(docs: DataFrame, text_col: str = "text") -> Model:
     """
 
     @F.pandas_udf("string")
+    @tidied
     def votes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([examine(t)[0] for t in as_bytes(texts)], dtype=object)
 
     @F.pandas_udf("v string, slots array<int>, vals array<double>")
+    @tidied
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = [examine(t) for t in as_bytes(texts)]
@@ -230,6 +232,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
 
     @F.pandas_udf("score double, votes string")
+    @tidied
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             found = [examine(t) for t in as_bytes(texts)]
@@ -243,6 +246,7 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
     """The rows, with all their columns, that aren't rejected."""
 
     @F.pandas_udf("boolean")
+    @tidied
     def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([score_one(examine(t)[1], model) >= threshold for t in as_bytes(texts)], dtype=bool)

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,14 +64,66 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Return freed memory of this Python worker to the system.
+
+    Workers live on between stages, and an idle one would keep what its
+    allocators hold.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(f: Callable) -> Callable:
+    """A function over an iterator of batches that releases memory at its end."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def draw(rows: DataFrame, group: str, k: int, order: list[str], groups: int = 500) -> DataFrame:
+    """At most ``k`` rows of each of the ``groups`` largest groups, lowest ``h`` (a hash column) first.
+
+    A rate from the groups' counts thins the rows out before they are sent, so
+    that ranking sees little more than the rows it keeps, whatever the input.
+    """
+    counts = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), group).limit(groups)
+    rate = F.lit(k + 6 * k**0.5 + 10) / F.col("_n") * (1 << 30)
+    few = rows.join(F.broadcast(counts), group).where(F.pmod("h", F.lit(1 << 30)) < rate)
+    lowest = Window.partitionBy(group).orderBy(F.pmod("h", F.lit(1 << 30)), *order)
+    return few.withColumn("rank", F.row_number().over(lowest)).where(F.col("rank") <= k).drop("_n")
+
+
+#: Rows and bytes of a batch that a Python worker gets at once, at most.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 _SHIPPED: set[str] = set()
 
 
+def _bytes(setting: str) -> int:
+    """A size setting's number, whatever its unit."""
+    number = setting.rstrip("bBkKmMgG")
+    unit = setting[len(number) :].lower().rstrip("b")
+    return int(number) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[unit]
+
+
 def ship(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once per application.
+    """Make a session ready for this package's Python workers.
 
-    Needed where the package isn't installed on them; Spark's file server sends it.
+    Batches sent to them are bounded (smaller settings stay), and the package
+    itself is sent once per application by Spark's file server, for executors
+    on which it isn't installed.
     """
+    for key, most in BATCH.items():
+        if spark.conf.get(key, None) is None or _bytes(spark.conf.get(key)) > most:
+            spark.conf.set(key, str(most))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .merges import merge
+from .shared import tidied
 
 #: Pre-tokens whose merged counts a worker keeps; beyond it the cache starts anew.
 CACHE = 800_000
@@ -103,6 +104,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     """
 
     @F.pandas_udf("long")
+    @tidied
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = counter(path)
         for texts in batches:

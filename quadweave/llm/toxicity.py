@@ -15,8 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .shared import draw, tidied
 from .textkit import as_bytes, hashed_words
 
 _U = np.uint64
@@ -189,18 +189,16 @@ def fit(texts: list[bytes], target: np.ndarray) -> Model:
 def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on at most SAMPLE texts of each label, drawn in hash order of the id.
 
-    The draw is bounded in every task before the shuffle.  Null texts and labels
+    The draw is thinned out before the shuffle.  Null texts and labels
     are left out; with no rows of one label the model is a constant.
     """
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
-    drawn = (
+    known = (
         labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
         .where("y in (0, 1)")
         .dropDuplicates(["id"])
-        .withColumn("rank", rank)
-        .where(F.col("rank") <= SAMPLE)
-        .select("id", "y")
+        .withColumn("h", F.xxhash64("id"))
     )
+    drawn = draw(known, "y", SAMPLE, ["id"]).select("id", "y")
     rows = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         .where("text is not null")
@@ -220,6 +218,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
 
     @F.pandas_udf("double")
+    @tidied
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(scores(as_bytes(texts), model))
