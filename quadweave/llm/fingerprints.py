@@ -37,24 +37,24 @@ def canonical(text: str | None) -> bytes:
     return " ".join(folded.split()).encode("utf-8", "surrogatepass")
 
 
-def digest(canon: bytes) -> str:
-    """32 hex digits of the canonical bytes."""
-    return xxhash.xxh3_128_hexdigest(canon)
+def digest(canon: bytes, width: int = 32) -> str:
+    """Hex digits of the canonical bytes' hash; fewer than 32 only serve to test clashes."""
+    return xxhash.xxh3_128_hexdigest(canon)[:width]
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 32) -> DataFrame:
     """``id`` and ``fp`` of each row, before buckets are compared."""
 
     @F.pandas_udf("string")
     @tidied
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([digest(canonical(t)) for t in texts], dtype=object)
+            yield pd.Series([digest(canonical(t), width) for t in texts], dtype=object)
 
     return docs.select(F.col(id_col).alias("id"), of(F.col(text_col).cast("string")).alias("fp"))
 
 
-def resolve(hashed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resolve(hashed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 32) -> DataFrame:
     """``id``, ``fingerprint`` and ``group_id`` from hashes, by comparing bytes in equal buckets.
 
     Only rows that may share a hash with another row are read again: a filter of
@@ -84,7 +84,7 @@ def resolve(hashed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
             rows = []
             for text in texts:
                 canon = canonical(text)
-                at = int((fp := digest(canon))[:6], 16)
+                at = int((fp := digest(canon, width))[:6], 16)
                 rows.append((fp, canon if bits[at >> 3] >> (at & 7) & 1 else None))
             yield pd.DataFrame(rows, columns=["fp", "canon"])
 
