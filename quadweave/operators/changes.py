@@ -15,6 +15,7 @@ from .diff import check_columns
 
 #: Buckets of the distributed ranking: their offsets are one small table.
 BUCKETS = 1 << 16
+SKEW_BUCKETS = 1 << 12
 #: Seconds by which the kinds of change move times, the seed added.
 UPDATE_SHIFT, COMPOSITE_SHIFT, INSERT_SHIFT, INSERT_STEP = 60, 120, 3600, 60
 
@@ -118,10 +119,10 @@ def _moved(df: DataFrame, feed: Feed) -> DataFrame:
     return out
 
 
-def _inserted(marked: DataFrame, feed: Feed, n: int, rows: int, highest: int) -> DataFrame:
-    """``n`` new rows: copies of rows drawn with repetition, with fresh keys and later times."""
+def _inserted(marked: DataFrame, feed: Feed, first: int, n: int, rows: int, highest: int) -> DataFrame:
+    """New rows number ``first`` onward, ``n`` of them: copies of rows drawn by ``rank`` with repetition, with fresh keys and later times."""
     spark = marked.sparkSession
-    drawn = spark.range(n).select(
+    drawn = spark.range(first, first + n).select(
         F.col("id").alias("j"),
         F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{feed.seed}+"), F.col("id").cast("string")).cast("binary")), 1, 12), 16, 10).cast("long"), F.lit(rows)).alias("rank"),
     )
@@ -132,28 +133,47 @@ def _inserted(marked: DataFrame, feed: Feed, n: int, rows: int, highest: int) ->
     return out.withColumn(feed.fresh, (F.lit(highest + 1) + F.col("j")).cast(marked.schema[feed.fresh].dataType))
 
 
-def generate(base: DataFrame, feed: Feed) -> tuple[DataFrame, DataFrame]:
+@dataclass(frozen=True)
+class Skew:
+    """A share ``p`` of the mapped changes is to come from partition 0 of ``k`` by the hash of ``column``."""
+
+    column: str
+    k: int
+    p: float
+
+
+def generate(base: DataFrame, feed: Feed, skew: Skew | None = None) -> tuple[DataFrame, DataFrame]:
     """The changed snapshot, and the log ``op, old_key, new_key, changed_fields``.
 
     Rows are chosen by a seeded hash of their key, so the same feed on the same
     table is the same anywhere.  The base isn't touched.  Fresh keys lie above
-    the highest value of the (numeric) column ``fresh``.
+    the highest value of the (numeric) column ``fresh``.  With a skew, updates,
+    composites and the templates of inserts are drawn from partition 0 as far
+    as their quotas say, and deletes from the rows that are left.
     """
     check_columns(base, [*feed.keys, *feed.times, feed.fresh])
     rows, highest = base.agg(F.count("*"), F.max(F.col(feed.fresh).cast("long"))).first()
     if not rows:
         raise ValueError("no rows to change")
     quotas = plan(rows, feed.ratio)
-    marked = _marked(base, feed, quotas)
-    inserted = _inserted(marked, feed, quotas.insert, rows, highest)
+    if skew is None:
+        marked = _marked(base, feed, quotas)
+        inserted = _inserted(marked, feed, 0, quotas.insert, rows, highest)
+    else:
+        marked, home = _marked_skewed(base, feed, quotas, skew)
+        forced = skewed_quotas(quotas, skew.p)[1]["insert"]
+        here = marked.where("home = 1").withColumn("rank", F.col("home_rank"))
+        inserted = _inserted(here, feed, 0, forced, max(home, 1), highest).unionByName(
+            _inserted(marked, feed, forced, quotas.insert - forced, rows, highest)
+        )
     columns = base.columns
     after = _moved(marked.where("op is null or op <> 'delete'"), feed).select(*columns).unionByName(inserted.select(*columns))
     key = row_key([F.col(k) for k in feed.keys])
-    fields = {op: F.lit(",".join(c)) for op, c in (("delete", ()), ("insert", ("*",)))}
     valid = {c: shift_time(F.col(c), 0).isNotNull() for c in feed.times}
-    fields["update"] = F.when(valid[feed.times[0]], feed.times[0]).otherwise("")
-    fields["composite"] = F.array_join(F.array_compact(F.array(*[F.when(valid[c], c) for c in feed.times])), ",")
-    changed = F.when(F.col("op") == "update", fields["update"]).when(F.col("op") == "composite", fields["composite"]).otherwise("")
+    composite = F.array_join(F.array_compact(F.array(*[F.when(valid[c], c) for c in feed.times])), ",")
+    changed = (
+        F.when((F.col("op") == "update") & valid[feed.times[0]], feed.times[0]).when(F.col("op") == "composite", composite).otherwise("")
+    )
     nothing = F.lit("")
     log = marked.where("op is not null").select(
         "op", key.alias("old_key"), F.when(F.col("op") == "delete", nothing).otherwise(key).alias("new_key"), changed.alias("changed_fields")
@@ -169,23 +189,31 @@ def skewed_quotas(mapped: Quotas, p: float) -> tuple[int, dict[str, int]]:
     return forced, apportion({"insert": mapped.insert, "update": mapped.update, "composite": mapped.composite}, forced)
 
 
-def skewed_choice(base: DataFrame, feed: Feed, partition_key: str, k: int, p: float) -> DataFrame:
-    """Rows with ``op`` update or composite so that a share ``p`` of them comes from partition 0.
+def _marked_skewed(base: DataFrame, feed: Feed, quotas: Quotas, skew: Skew) -> tuple[DataFrame, int]:
+    """The rows with ``rank``, ``home``, ``home_rank`` and ``op``; and the number of home rows.
 
-    Home rows are those whose partition key hashes to 0 of ``k``; the rest of
-    each quota comes from other rows that have a time to move.
+    In hash order, home rows with a time to move are updated, then made
+    composites, until the forced quotas are met; the same of all other rows that
+    have one for the rest; deletes are the first of those without an operation.
     """
-    rows = base.count()
-    quotas = plan(rows, feed.ratio)
-    _, forced = skewed_quotas(quotas, p)
-    able = base.where(shift_time(F.col(feed.times[0]), 0).isNotNull()).withColumn("home", (md5_mod(F.col(partition_key), k) == 0).cast("int"))
-    here, there = (
-        shuffled(able.where(F.col("home") == h), row_key([F.col(c) for c in feed.keys]), feed.seed, [F.col(c) for c in feed.keys]) for h in (1, 0)
-    )
+    key, tie = row_key([F.col(c) for c in feed.keys]), [F.col(c) for c in feed.keys]
+    forced = skewed_quotas(quotas, skew.p)[1]
+    able = (shift_time(F.col(feed.times[0]), 0).isNotNull()).cast("int")
+    rows = base.withColumn("home", (md5_mod(F.col(skew.column), skew.k) == 0).cast("int")).withColumn("able", able)
+    counts = {(r.home, r.able): r["n"] for r in rows.groupBy("home", "able").agg(F.count("*").alias("n")).collect()}
     u, c = forced["update"], forced["composite"]
     u_rest, c_rest = quotas.update - u, quotas.composite - c
-    r = F.col("rank")
-    out = here.withColumn("op", F.when(r < u, "update").when(r < u + c, "composite")).unionByName(
-        there.withColumn("op", F.when(r < u_rest, "update").when(r < u_rest + c_rest, "composite"))
-    )
-    return out.where("op is not null").drop("rank")
+    if counts.get((1, 1), 0) < u + c or counts.get((0, 1), 0) < u_rest + c_rest:
+        raise ValueError("too few rows with a time to move for this skew")
+    home = counts.get((1, 0), 0) + counts.get((1, 1), 0)
+    if forced["insert"] and not home:
+        raise ValueError("partition 0 has no row to copy")
+    ranked = shuffled(rows, key, feed.seed, tie, ["home", "able"], SKEW_BUCKETS).withColumnRenamed("rank", "group_rank")
+    ranked = shuffled(ranked, key, feed.seed, tie, ["home"], SKEW_BUCKETS).withColumnRenamed("rank", "home_rank")
+    r = F.col("group_rank")
+    first = F.when(F.col("home") == 1, u).otherwise(u_rest)
+    last = F.when(F.col("home") == 1, u + c).otherwise(u_rest + c_rest)
+    moved = F.when(F.col("able") == 1, F.when(r < first, "update").when(r < last, "composite"))
+    ranked = shuffled(ranked.withColumn("op", moved).withColumn("free", F.col("op").isNull()), key, feed.seed, tie, ["free"], SKEW_BUCKETS)
+    ranked = ranked.withColumn("op", F.when(F.col("free") & (F.col("rank") < quotas.delete), "delete").otherwise(F.col("op")))
+    return shuffled(ranked.drop("rank", "free", "group_rank", "able"), key, feed.seed, tie), home

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,3 +56,21 @@ def commit_all(versions: DataFrame, requests: DataFrame, order: Sequence[str], r
 def commit_in_order(requests: DataFrame) -> DataFrame:
     """Version that each (key, task) writes if tasks commit one after another: its turn among the key's tasks."""
     return requests.withColumn("version", F.row_number().over(Window.partitionBy("key").orderBy("task")))
+
+
+def matched(reports: DataFrame, specs: DataFrame, task: str = "task") -> DataFrame:
+    """Reports with their task's specification; an error if a report names an unknown task."""
+    unknown = reports.join(specs, task, "left_anti").select(task).limit(3).collect()
+    if unknown:
+        raise LookupError(f"reports of unknown tasks: {[r[0] for r in unknown]}")
+    return reports.join(specs, task)
+
+
+def save_versions(versions: DataFrame, path: str, keep: bool = False) -> None:
+    """Write versions; ``keep`` adds to those of earlier runs, of which the highest counts."""
+    versions.write.mode("append" if keep else "overwrite").parquet(path)
+
+
+def load_versions(spark: SparkSession, path: str) -> DataFrame:
+    """The highest version of each key."""
+    return spark.read.parquet(path).groupBy("key").agg(F.max("version").alias("version"))

@@ -304,6 +304,37 @@ def change_log_counts(spark: SparkSession, d: str) -> DataFrame:
     return _feed(spark, d)[2].groupBy("op").agg(F.count("*").alias("n"))
 
 
+_SKEWED = f"""WITH st AS ({fx.SQL["stop_times"]}),
+q AS (SELECT total, total // 4 AS share, total - 3 * (total // 4) AS comp, CAST(floor((total - total // 4) * 0.75 + 0.5) AS BIGINT) AS forced
+  FROM (SELECT greatest(1, CAST(round_even(count(*) * 0.1, 0) AS BIGINT)) AS total FROM st)),
+shares AS (SELECT name, n, n * forced // sum(n) OVER () AS f, n * forced % sum(n) OVER () AS r, forced FROM q, LATERAL (VALUES ('insert', share), ('update', share), ('composite', comp)) v(name, n)),
+quota AS (SELECT name, n, f + CASE WHEN row_number() OVER (ORDER BY r DESC, name) <= forced - sum(f) OVER () THEN 1 ELSE 0 END AS f FROM shares),
+u AS (SELECT n, f FROM quota WHERE name = 'update'), c AS (SELECT n, f FROM quota WHERE name = 'composite'),
+ranked AS (SELECT *, {_KEY} AS k, CASE WHEN {_md5_sql("trip_id", K)} = 0 THEN 1 ELSE 0 END AS home FROM st),
+placed AS (SELECT *, row_number() OVER (PARTITION BY home ORDER BY md5('1:' || k)) - 1 AS r FROM ranked),
+moved AS (SELECT p.*, CASE WHEN home = 1 THEN CASE WHEN r < u.f THEN 'update' WHEN r < u.f + c.f THEN 'composite' END
+  ELSE CASE WHEN r < u.n - u.f THEN 'update' WHEN r < u.n - u.f + c.n - c.f THEN 'composite' END END AS op0 FROM placed p, u, c),
+marked AS (SELECT *, CASE WHEN op0 IS NULL AND row_number() OVER (PARTITION BY op0 IS NULL ORDER BY md5('1:' || k)) <= (SELECT share FROM q) THEN 'delete' ELSE op0 END AS op FROM moved)"""
+
+
+def _skewed_log(spark: SparkSession, d: str) -> DataFrame:
+    return changes.generate(fx.table(spark, d, "stop_times"), fx.FEED, changes.Skew("trip_id", K, 0.75))[1]
+
+
+@query(f"{_SKEWED} SELECT op, k AS old_key, CASE WHEN op = 'delete' THEN '' ELSE k END AS new_key FROM marked WHERE op IS NOT NULL")
+def skewed_change_log(spark: SparkSession, d: str) -> DataFrame:
+    """Operations of a feed of which three quarters come from one partition."""
+    return _skewed_log(spark, d).where("op <> 'insert'").select("op", "old_key", "new_key")
+
+
+@query(f"{_SKEWED} SELECT op, home, count(*) AS n FROM marked WHERE op IN ('update', 'composite') GROUP BY ALL")
+def skewed_change_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Moved rows of that feed by operation and partition."""
+    trip = F.split("old_key", r"\|")[0]
+    home = (scalars.md5_mod(trip, K) == 0).cast("int")
+    return _skewed_log(spark, d).where("op in ('update', 'composite')").groupBy("op", home.alias("home")).agg(F.count("*").alias("n"))
+
+
 @query(_side_sql("new", "'inserted'"))
 def diff_inserted(spark: SparkSession, d: str) -> DataFrame:
     """Rows of keys that are new."""
@@ -640,11 +671,18 @@ def broken_invariants(spark: SparkSession, d: str) -> DataFrame:
     return metrics.one_value(spark.read.parquet(f"{d}/events.parquet"), ["user_id"], "event_type")
 
 
-@query("SELECT event_type, CAST(sum(row_rank) AS BIGINT) AS total FROM (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS row_rank FROM events) GROUP BY event_type")
+@query(f"{_PIECES}, t AS (SELECT partition_id, subpartition_id, count(*) AS row_count FROM pieces GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY coalesce(subpartition_id, 0), partition_id) AS turn FROM t")
 def dispatch_order(spark: SparkSession, d: str) -> DataFrame:
-    """Ranks of tasks in dispatch order, summed by kind."""
-    rank = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    return spark.read.parquet(f"{d}/events.parquet").select("event_type", rank.alias("r")).groupBy("event_type").agg(F.sum("r").alias("total"))
+    """Turns in which tasks are handed out."""
+    split = partition.split_hot(_assigned(spark, d, hot=True), K, THRESHOLD, FACTOR, fx.KEYS)
+    return partition.dispatch_order(partition.tasks(split))
+
+
+@query(f"{_PIECES}, t AS (SELECT partition_id, subpartition_id, count(*) AS row_count FROM pieces GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY partition_id, coalesce(subpartition_id, -1)) AS turn FROM t")
+def merge_order(spark: SparkSession, d: str) -> DataFrame:
+    """Turns in which tasks' outputs are put together."""
+    split = partition.split_hot(_assigned(spark, d, hot=True), K, THRESHOLD, FACTOR, fx.KEYS)
+    return partition.merge_order(partition.tasks(split))
 
 
 @query("SELECT key, value FROM (SELECT event_type AS key, CAST(event_id AS VARCHAR) || ':' || CAST(user_id AS VARCHAR) AS value FROM events)")
@@ -663,3 +701,12 @@ def json_task_metrics(spark: SparkSession, d: str) -> DataFrame:
     )
     runs = spark.read.parquet(f"{d}/events.parquet").groupBy(F.expr("event_id % 100").alias("run")).agg(F.to_json(F.collect_list(task)).alias("tasks"))
     return logs.task_metrics(runs, "tasks")
+
+
+@query("SELECT event_id % 100 AS run, CAST(min_by(user_id, event_id) FILTER (WHERE event_type = 'click') AS VARCHAR) AS value FROM events GROUP BY 1")
+def first_log_value(spark: SparkSession, d: str) -> DataFrame:
+    """First value of a key in each run's log."""
+    lines = spark.read.parquet(f"{d}/events.parquet").select(
+        F.expr("event_id % 100").alias("run"), F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("value"), F.col("event_id").alias("position")
+    )
+    return lines.groupBy("run").agg(logs.first_value(lines, "click").alias("value"))

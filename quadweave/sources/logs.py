@@ -50,3 +50,23 @@ def write_run_log(spark: SparkSession, metrics: dict[str, object], path: str) ->
     """A run's metrics as ``key: value`` lines in one file."""
     rows = [(f"{k}: {json.dumps(v) if isinstance(v, list | dict) else v}",) for k, v in metrics.items()]
     spark.createDataFrame(rows, "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def first_value(lines: DataFrame, key: str) -> Column:
+    """Aggregate: the value of the first line (by ``position``) with a key; null if there is none."""
+    return F.min_by(F.when(F.col("key") == key, F.col("value")), F.when(F.col("key") == key, F.col("position")))
+
+
+def read_scalar(spark: SparkSession, path: str) -> int | None:
+    """The number in a small text file, or None where there is no such file."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    rows = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    return int(rows[0].value.split()[0]) if rows else None
+
+
+def write_manifest(spark: SparkSession, fields: dict, path: str) -> None:
+    """A JSON object in one file."""
+    spark.createDataFrame([(json.dumps(fields),)], "value string").coalesce(1).write.mode("overwrite").text(path)

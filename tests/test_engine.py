@@ -174,10 +174,14 @@ def test_generate_is_deterministic_and_exact(spark):
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
     n = changes.plan(base.count(), 0.1)
     assert {r["op"]: r["count"] for r in log.groupBy("op").count().collect()} == {"insert": n.insert, "delete": n.delete, "update": n.update, "composite": n.composite}
-    some = changes.skewed_choice(base, fx.FEED, "trip_id", 4, 0.75)
+    after, log = changes.generate(base, fx.FEED, changes.Skew("trip_id", 4, 0.75))
+    assert after.count() == base.count() - n.delete + n.insert
+    home = scalars.md5_mod(F.split("old_key", r"\|")[0], 4) == 0
     forced = changes.skewed_quotas(n, 0.75)[1]
-    assert some.where("home = 1").count() == forced["update"] + forced["composite"]
-    assert some.count() == n.update + n.composite
+    got = {r["op"]: r["n"] for r in log.where(home).where("op in ('update', 'composite')").groupBy("op").agg(F.count("*").alias("n")).collect()}
+    assert got == {"update": forced["update"], "composite": forced["composite"]}
+    with pytest.raises(ValueError):
+        changes.generate(base, changes.Feed(fx.KEYS, fx.FEED.times, "trip_id", 1.0, 1), changes.Skew("trip_id", 1000, 1.0))
 
 
 def hot_rows(spark):
@@ -224,6 +228,27 @@ def test_commits(spark):
     assert {r.task: r.attempts for r in done.collect()} == {"a": 1, "b": 2, "c": 1, "d": 2}
 
 
+def test_reports_and_versions(spark, tmp_path):
+    reports = spark.createDataFrame([("a", 1), ("b", 2)], "task string, ms int")
+    specs = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "task string, partition_id int")
+    assert commit.matched(reports, specs).count() == 2
+    with pytest.raises(LookupError):
+        commit.matched(reports, specs.where("task = 'c'"))
+    path = str(tmp_path / "versions")
+    commit.save_versions(spark.createDataFrame([("k", 3)], "key string, version int"), path)
+    commit.save_versions(spark.createDataFrame([("k", 4), ("l", 1)], "key string, version int"), path, keep=True)
+    assert {r.key: r.version for r in commit.load_versions(spark, path).collect()} == {"k": 4, "l": 1}
+    logs.write_manifest(spark, {"partition_hash": "md5", "partition_k": 4, "partition_skew_p": 0.5, "delta_rows": 3}, str(tmp_path / "m.json"))
+    assert logs.read_json_sidecar(spark, str(tmp_path / "m.json"))["partition_k"] == 4
+    logs.write_manifest(spark, {"a": 1}, str(tmp_path / "n.json"))
+    with pytest.raises(ValueError):
+        logs.read_json_sidecar(spark, str(tmp_path / "n.json"))
+    assert logs.read_scalar(spark, str(tmp_path / "none")) is None
+    split = partition.split_hot(partition.assign(hot_rows(spark), "trip_id", 2), 2, 1.7, 2, ["trip_id"])
+    partition.write_partitions(split, ["trip_id", "stop_sequence"], str(tmp_path / "parts"))
+    assert spark.read.parquet(str(tmp_path / "parts/rows")).count() == spark.read.text(str(tmp_path / "parts/keys")).count() == 10
+
+
 def test_nquads(spark, tmp_path):
     quads = spark.createDataFrame(
         [("http://a", "http://p", 'say "hi"\\\n\tnow', "literal", None), ("http://a", "http://q", "http://o", "iri", None), ("http://b", "http://p", "5", "literal", "http://int")],
