@@ -154,6 +154,23 @@ def test_incremental_plan(spark):
     after = {**before, "routes": before["routes"].where("route_id <> '5'")}
     got = refresh.incremental(refresh.reconstruct(mapping, before), mapping, before, after, {"routes": ["route_id"]})
     assert bag(got) == bag(refresh.reconstruct(mapping, after, verify_references=True))
+    gone = refresh.incremental(refresh.reconstruct(mapping, before), mapping, before, {"routes": before["routes"]}, {"routes": ["route_id"], "agency": ["agency_id"]})
+    assert bag(gone) == bag(refresh.reconstruct(mapping, {**before, "agency": before["agency"].limit(0)}))
+
+
+def test_partitioned_delta_is_independent_of_dealing(spark):
+    before = fx.table(spark, "/root/testdata/sf0.001", "stop_times").persist()
+    found = diff.diff(before, changes.generate(before, fx.FEED)[0], fx.KEYS).persist()
+    mapping = fx.MAPPING.narrowed(["stoptimes"]).only_predicates([fx.TERMS + "arrivalTime"])
+
+    def quads(rows):
+        return compile_mapping(mapping, {"stop_times": rows})
+
+    want = bag(quads(diff.delta_rows(found)))
+    for k, threshold in ((1, None), (4, None), (4, 0.5)):
+        got, tasks = refresh.partitioned_delta(found, "trip_id", k, quads, threshold, 3, fx.KEYS)
+        assert bag(got) == want
+        assert tasks.agg(F.sum("row_count")).first()[0] == diff.delta_rows(found).count()
 
 
 def test_quotas():
