@@ -14,6 +14,10 @@ from quadweave.llm import bpe, decontamination, language_id, near_dedup, quality
 from quadweave.llm.shared import documents, ship, written
 
 
+#: Pre-tokens that a worker keeps when encoding: less than alone, as its executor has run the other stages.
+WORKER_CACHE = 200_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label quality model doesn't reject; empty texts go."""
     ship(spark)
@@ -41,7 +45,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids and their number."""
     ship(spark)
-    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cache=WORKER_CACHE)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,16 +29,21 @@ from pyspark.sql import functions as F
 from .merges import merge
 from .shared import tidied
 
-#: Bounds of a worker's memory: transducer transitions, pair checks, encoded pre-tokens.
-TRANSITIONS, PAIRS, CACHE = 500_000, 400_000, 600_000
+#: Pre-tokens whose ids a worker keeps.  It also bounds the transducer's transitions
+#: and pair checks, hence a worker's memory: about 450 bytes for each.
+CACHE = 1_000_000
 #: Bytes read before settled tokens are emitted.
 WINDOW = 4096
+#: Bits of a token id plus one.
+_ID = 20
+_LOW = (1 << _ID) - 1
 
 
 class Transducer:
     """Merges compiled to a machine from bytes to token ids."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int = CACHE) -> None:
+        self.most_steps, self.most_pairs = cache * 5 // 6, cache * 2 // 3
         self.ranks: dict[bytes, int] = {}
         with open(path, "rb") as f:
             for line in f:
@@ -64,7 +70,7 @@ class Transducer:
                 node = self.child[step]
             self.token[node] = i
         self.length = {i: len(t) for t, i in self.ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.reset()
 
     def merged(self, piece: bytes) -> list[int]:
@@ -73,51 +79,59 @@ class Transducer:
         return [self.ranks[p] for p in merge([piece[i : i + 1] for i in range(len(piece))], lambda a, b: get(a + b), bytes.__add__)]
 
     def reset(self) -> None:
-        """Forget all states met."""
-        start = ((0, -1),)
+        """Forget all states met.
+
+        An open token is one number: its place in the trie, and the token
+        before it plus one in the low _ID bits.  So is a transition: the next
+        state, and the token that ends plus one.
+        """
+        start = (0,)
         self.states, self.numbers = [start], {start: 0}
-        self.steps: dict[int, tuple[int, int]] = {}
+        self.steps: dict[int, int] = {}
 
     def follows(self, a: int, b: int) -> bool:
         """Whether token b can stand after token a."""
-        found = self.pairs.get(key := (a, b))
+        found = self.pairs.get(key := a << _ID | b)
         if found is None:
-            if len(self.pairs) > PAIRS:
+            if len(self.pairs) > self.most_pairs:
                 self.pairs.clear()
             found = self.pairs[key] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return found
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
-        """Determinise one transition: the next state, and the token that ends at this byte."""
+    def step(self, state: int, byte: int) -> int:
+        """Determinise one transition."""
         here, after = -1, []
-        for node, left in self.states[state]:
-            reached = self.child.get(node << 8 | byte)
+        for pair in self.states[state]:
+            reached = self.child.get(pair >> _ID << 8 | byte)
             if reached is None:
                 continue
+            left = (pair & _LOW) - 1
             if here < 0 and (token := self.token[reached]) >= 0 and (left < 0 or self.follows(left, token)):
                 here = token
             if self.inner[reached]:
-                after.append((reached, left))
-        after.append((0, here))
+                after.append(reached << _ID | left + 1)
+        after.append(here + 1)
         new = tuple(after)
         number = self.numbers.get(new)
         if number is None:
             number = self.numbers[new] = len(self.states)
             self.states.append(new)
-        found = self.steps[state << 8 | byte] = (number, here)
+        found = self.steps[state << 8 | byte] = number << _ID | here + 1
         return found
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        if len(self.steps) > TRANSITIONS:
+        if len(self.steps) > self.most_steps:
             self.reset()
         out: list[int] = []
         ends: list[int] = []
         state, steps = 0, self.steps
         for byte in piece:
             found = steps.get(state << 8 | byte)
-            state, token = found if found is not None else self.step(state, byte)
-            ends.append(token)
+            if found is None:
+                found = self.step(state, byte)
+            state = found >> _ID
+            ends.append((found & _LOW) - 1)
             if len(ends) >= WINDOW:
                 ends = self._emit(ends, state, out)
         out += self._back(ends, len(ends))
@@ -140,8 +154,8 @@ class Transducer:
             at -= self.length[ends[at - 1]]
             chain.add(at)
         settled = len(ends)
-        for node, _ in self.states[state]:
-            at = len(ends) - self.depth[node]
+        for pair in self.states[state]:
+            at = len(ends) - self.depth[pair >> _ID]
             while at not in chain:
                 at -= self.length[ends[at - 1]]
             settled = min(settled, at)
@@ -190,23 +204,29 @@ class Utf8Stream:
 class Codec:
     """Texts to ids and back, for one vocabulary and split pattern."""
 
-    def __init__(self, path: str, pattern: str) -> None:
-        self.machine = Transducer(path)
+    def __init__(self, path: str, pattern: str, cache: int = CACHE) -> None:
+        self.machine = Transducer(path, cache)
+        self.most = cache
         self.split = regex.compile(pattern)
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def pieces(self, text: str) -> Iterator[tuple[int, ...]]:
+        self.cache: dict[str, array] = {}
+        self.older: dict[str, array] = {}
+
+    def missing(self, piece: str) -> array:
+        """Ids of a pre-token that isn't in the younger half of the cache."""
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("I", self.machine.encode(piece.encode("utf-8", "surrogatepass")))
+        if len(piece) < 64:
+            if len(self.cache) >= self.most // 2:
+                self.older, self.cache = self.cache, {}
+            self.cache[piece] = ids
+        return ids
+
+    def pieces(self, text: str) -> Iterator[array]:
         """Ids of each pre-token in turn."""
-        cache = self.cache
         for piece in self.split.findall(text):
-            ids = cache.get(piece)
-            if ids is None:
-                ids = tuple(self.machine.encode(piece.encode("utf-8", "surrogatepass")))
-                if len(piece) < 64:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[piece] = ids
-            yield ids
+            ids = self.cache.get(piece)
+            yield ids if ids is not None else self.missing(piece)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
@@ -231,12 +251,12 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker process, vocabulary and pattern."""
-    return Codec(path, pattern)
+def codec(path: str, pattern: str, cache: int = CACHE) -> Codec:
+    """One codec per worker process, vocabulary, pattern and cache size."""
+    return Codec(path, pattern, cache)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
     """id and ``ids`` (array of int) per input row.
 
     Null and empty texts give an empty array; repeated rows stay; other columns
@@ -246,7 +266,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     @F.pandas_udf("array<int>")
     @tidied
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        c = codec(path, pattern)
+        c = codec(path, pattern, cache)
         for texts in batches:
             yield pd.Series([c.encode(t or "") for t in texts], dtype=object)
 

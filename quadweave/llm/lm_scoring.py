@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_parts, tidied, written
+from .shared import batches_of, shuffle_parts, tidied, written
 from .textkit import as_bytes, hashed_words, mix
 
 _U = np.uint64
@@ -439,6 +439,12 @@ def score(
     texts the model predicts every bit by a half.  Repeated rows stay; an empty
     table gives an empty result; other columns are ignored.
     """
+    # larger batches than elsewhere: the more text at once, the fewer distinct windows
+    with batches_of(docs.sparkSession, 2000, 16 << 20):
+        return _scored(docs, training, id_col, text_col)
+
+
+def _scored(docs: DataFrame, training: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     learned = training.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     model = spark.sparkContext.broadcast(learn(learned))

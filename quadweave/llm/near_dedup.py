@@ -36,7 +36,7 @@ BLOCK = 512
 #: Ids up to which they are sent to all executors (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Bytes of text for which one worker holds shingles at a time.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -279,7 +279,7 @@ def near_duplicates(
             i = 0
             while i < len(found):
                 j, size = i, 0
-                while j < len(found) and (j == i or size + len(found[j]) <= SLICE // 8):
+                while j < len(found) and (j == i or size + len(found[j]) <= SLICE // 4):
                     size += len(found[j])
                     j += 1
                 out += list(fine_sketches(found[i:j]))

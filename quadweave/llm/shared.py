@@ -103,7 +103,7 @@ def draw(rows: DataFrame, group: str, k: int, order: list[str], groups: int = 50
 
 
 #: Rows and bytes of a batch that a Python worker gets at once, at most.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 _SHIPPED: set[str] = set()
 
 
@@ -114,6 +114,23 @@ def _bytes(setting: str) -> int:
     return int(number) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[unit]
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """Batches of up to so many rows and bytes for what is run inside the block."""
+    new = dict(zip(BATCH, (rows, size), strict=True))
+    old = {key: spark.conf.get(key, None) for key in new}
+    for key, value in new.items():
+        spark.conf.set(key, str(value))
+    try:
+        yield
+    finally:
+        for key, value in old.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def ship(spark: SparkSession) -> None:
     """Make a session ready for this package's Python workers.
 

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C13 | 1
 _U = np.uint64
 _WHITE = b" \t\n\v\f\r"
