@@ -48,8 +48,10 @@ def duck():
 def rows_of(frame):
     """Rows as sorted tuples of text, columns by name; numbers compare across engines."""
 
+    import pandas as pd
+
     def text(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "NULL"
         if hasattr(v, "item"):
             v = v.item()
