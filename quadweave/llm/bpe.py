@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -208,30 +207,30 @@ class Codec:
         self.machine = Transducer(path, cache)
         self.most = cache
         self.split = regex.compile(pattern)
-        self.cache: dict[str, array] = {}
-        self.older: dict[str, array] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.ids = {i: i for i in self.machine.bytes_of}  # one object for each id, which all entries share
 
-    def missing(self, piece: str) -> array:
+    def missing(self, piece: str) -> tuple[int, ...]:
         """Ids of a pre-token that isn't in the younger half of the cache."""
         ids = self.older.get(piece)
         if ids is None:
-            ids = array("I", self.machine.encode(piece.encode("utf-8", "surrogatepass")))
+            ids = tuple(map(self.ids.__getitem__, self.machine.encode(piece.encode("utf-8", "surrogatepass"))))
         if len(piece) < 64:
             if len(self.cache) >= self.most // 2:
                 self.older, self.cache = self.cache, {}
             self.cache[piece] = ids
         return ids
 
-    def pieces(self, text: str) -> Iterator[array]:
-        """Ids of each pre-token in turn."""
-        for piece in self.split.findall(text):
-            ids = self.cache.get(piece)
-            yield ids if ids is not None else self.missing(piece)
-
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
         out: list[int] = []
-        for ids in self.pieces(text):
+        known = self.cache.get
+        for piece in self.split.findall(text):
+            ids = known(piece)
+            if ids is None:
+                ids = self.missing(piece)
+                known = self.cache.get
             out += ids
         return out
 
