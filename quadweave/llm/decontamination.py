@@ -5,6 +5,10 @@ markers.  Windows over the words with the marked values left out are joined by
 hash to the benchmark's, so a question with other names or numbers still meets
 its template.  Where a window has slots, the values on both sides must agree
 along one alignment: a benchmark value always stands for the same value.
+
+What this reading doesn't report is read once more: names are then slots wherever
+they stand, and beside the templates all windows over plain folded words count,
+whatever the case and the blanks, with no slot that could be in conflict.
 """
 
 from __future__ import annotations
@@ -45,13 +49,15 @@ STEPS_FOLDED = (
     (rf" ({'|'.join(NUMBER_WORDS)}) ", rf" {NUMBER}$1 "),
     (rf"({NUMBER}[\p{{L}}\p{{N}}]+) ({'|'.join(UNIT_WORDS)}) ", rf"$1 {UNIT}$2 "),
 )
+#: The steps before lower case of the second reading: a capitalised word is a name wherever it stands (Java dialect).
+STEPS_PLACED = ((r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}+)", rf"{NAME}$1"), STEPS_CASED[-1])
 STEP_TEMPLATE = (rf"([{NAME}{NUMBER}{UNIT}])[\p{{L}}\p{{N}}]*", "$1")
 
 
-def valued(text: Column) -> Column:
+def valued(text: Column, cased: tuple = STEPS_CASED) -> Column:
     """The words of a text, single blanks between them, names, numbers and units behind their markers."""
     out = F.concat(F.lit(" "), F.translate(text, NAME + NUMBER + UNIT, ""), F.lit(" "))
-    for pattern, to in STEPS_CASED:
+    for pattern, to in cased:
         out = F.regexp_replace(out, pattern, to)
     out = F.lower(out)
     for pattern, to in STEPS_FOLDED:
@@ -77,6 +83,67 @@ def _windows(words: Column, size: int) -> Column:
     )
 
 
+def _conflicts(slotted: DataFrame, own: DataFrame, theirs: DataFrame, window: int) -> DataFrame:
+    """The alignments (``id``, ``item``, ``shift``) along which a benchmark value stands for two values."""
+    ids = slotted.select("id").distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    ours = own.join(ids, "id", "left_semi").select("id", F.split("values", " ").alias("words"))
+    return (
+        slotted.join(ours, "id")
+        .join(theirs, ["item", "at"])
+        .select("id", "item", (F.col("pos") - F.col("at")).alias("shift"), F.arrays_zip(F.slice("words", F.col("pos") + 1, window).alias("got"), "expected").alias("z"))
+        .select("id", "item", "shift", F.explode("z").alias("z"))
+        .where(F.substring("z.expected", 1, 1).isin(NAME, NUMBER, UNIT))
+        .groupBy("id", "item", "shift", F.col("z.expected").alias("expected"))
+        .agg(F.min("z.got").alias("lo"), F.max("z.got").alias("hi"))
+        .where("lo <> hi")
+        .select("id", "item", "shift")
+        .distinct()
+        .withColumn("bad", F.lit(True))
+    )
+
+
+def _read_again(own: DataFrame, bench: DataFrame, window: int, literals: int, broadcast_windows: int) -> DataFrame:
+    """``id``, ``item``, ``matched``, ``windows``, ``conflicts`` by templates with names at any place and by plain words.
+
+    Both sides are ``valued`` by STEPS_PLACED.  All windows of an item count, and
+    a conflict takes away only what its alignment's templates matched.
+    """
+    plain = F.translate("values", NAME + NUMBER + UNIT, "")
+    items = (
+        bench.where("values <> ''")
+        .dropDuplicates(["item", "values"])
+        .select("item", F.split("values", " ").alias("values"), F.split(template(F.col("values")), " ").alias("list"), F.split(plain, " ").alias("words"))
+        .where(F.size("list") >= window)
+        .select("*", F.explode(F.sequence(F.lit(0), F.size("list") - window)).alias("at"))
+        .select("item", "at", *[F.slice(c, F.col("at") + 1, window).alias(c) for c in ("values", "list", "words")])
+        .withColumn("literal", F.size(F.filter("list", lambda w: ~w.isin(NAME, NUMBER, UNIT))))
+    )
+    totals = items.groupBy("item").agg(F.countDistinct("at").cast("long").alias("windows"))
+    words = items.select("item", "at", F.xxhash64("words").alias("h"), F.lit(False).alias("slotted"))
+    slots = items.where((F.col("literal") >= literals) & (F.col("literal") < F.size("list"))).select("item", "at", F.xxhash64("list").alias("h"), F.lit(True).alias("slotted"))
+    index = words.unionByName(slots).distinct()
+    if index.limit(broadcast_windows + 1).count() <= broadcast_windows:
+        index = F.broadcast(index)
+    runs = [_windows(template(F.col("values")), window), _windows(plain, window)]
+    found = written(
+        own.select("id", F.explode(F.array(*runs)).alias("runs")).select("id", F.posexplode("runs").alias("pos", "h")).join(index, "h").select("id", "item", "at", "pos", "slotted").distinct(),
+        "word-windows",
+    )
+    theirs = items.select("item", "at", F.col("values").alias("expected"))
+    pairs = _conflicts(found.where("slotted").drop("slotted"), own, theirs, window)
+    judged = found.withColumn("shift", F.col("pos") - F.col("at")).join(pairs, ["id", "item", "shift"], "left")
+    return (
+        judged.groupBy("id", "item")
+        .agg(
+            F.countDistinct(F.when(F.col("bad").isNull() | ~F.col("slotted"), F.col("at"))).alias("matched"),
+            F.countDistinct(F.when(F.col("bad"), F.col("shift"))).alias("conflicts"),
+        )
+        .join(F.broadcast(totals) if broadcast_windows else totals, "item")
+    )
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -94,10 +161,11 @@ def leaks(
     Columns: id, item, ``matched`` (distinct windows of the item found along
     alignments without slot conflict), ``windows`` (of the item), ``conflicts``
     (alignments dropped because a slot value stood for two values) and
-    ``coverage`` = matched / windows, at least the given share.  Windows with
-    fewer than ``literals`` literal words aren't indexed, unless the item is
+    ``coverage`` = matched / windows, at least the given share.  Template windows
+    with fewer than ``literals`` literal words aren't indexed, unless the item is
     shorter than a window; such an item is found only where it is the whole
-    document.  Null and empty texts contain nothing; rows that repeat an id count
+    document.  Pairs that this doesn't report are judged by the second reading,
+    whose ``windows`` are all of the item's.  Null and empty texts contain nothing; rows that repeat an id count
     once; empty tables give an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col(item_text_col).cast("string"), F.lit(""))
@@ -124,44 +192,29 @@ def leaks(
         .select("id", "item", "at", "pos", "slotted"),
         "template-windows",
     )
-    # conflicts: along one alignment a benchmark value stands for two values
-    slotted = found.where("slotted").select("id", "item", "at", "pos").distinct()
     theirs = items.select("item", "at", F.col("values").alias("expected"))
-    ids = slotted.select("id").distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    ours = own.join(ids, "id", "left_semi").select("id", F.split("values", " ").alias("words"))
-    pairs = (
-        slotted.join(ours, "id")
-        .join(theirs, ["item", "at"])
-        .select("id", "item", (F.col("pos") - F.col("at")).alias("shift"), F.arrays_zip(F.slice("words", F.col("pos") + 1, window).alias("got"), "expected").alias("z"))
-        .select("id", "item", "shift", F.explode("z").alias("z"))
-        .where(F.substring("z.expected", 1, 1).isin(NAME, NUMBER, UNIT))
-        .groupBy("id", "item", "shift", F.col("z.expected").alias("expected"))
-        .agg(F.min("z.got").alias("lo"), F.max("z.got").alias("hi"))
-        .where("lo <> hi")
-        .select("id", "item", "shift")
-        .distinct()
-        .withColumn("bad", F.lit(True))
-    )
+    pairs = _conflicts(found.where("slotted").select("id", "item", "at", "pos").distinct(), own, theirs, window)
     aligned = found.groupBy("id", "item", (F.col("pos") - F.col("at")).alias("shift"), "at").agg(F.count("*").alias("n")).drop("n")
     judged = aligned.join(pairs, ["id", "item", "shift"], "left")
-    return (
+    first = (
         judged.groupBy("id", "item")
         .agg(
             F.countDistinct(F.when(F.col("bad").isNull(), F.col("at"))).alias("matched"),
             F.countDistinct(F.when(F.col("bad"), F.col("shift"))).alias("conflicts"),
         )
         .join(F.broadcast(totals) if broadcast_windows else totals, "item")
-        .select(
-            F.col("id").alias(id_col),
-            F.col("item").alias(item_col),
-            "matched",
-            "windows",
-            "conflicts",
-            (F.col("matched") / F.col("windows")).alias("coverage"),
-        )
-        .where(F.col("coverage") >= coverage)
+    )
+    placed = [
+        t.select(F.col(key).alias(name), valued(F.coalesce(F.col(column).cast("string"), F.lit("")), STEPS_PLACED).alias("values"))
+        for t, key, name, column in ((docs, id_col, "id", text_col), (benchmark, item_col, "item", item_text_col))
+    ]
+    second = _read_again(*placed, window, literals, broadcast_windows)
+    judged = first.withColumn("reading", F.lit(1)).unionByName(second.withColumn("reading", F.lit(2))).withColumn("coverage", F.col("matched") / F.col("windows"))
+    return (
+        judged.where(F.col("coverage") >= coverage)
+        .groupBy("id", "item")
+        .agg(F.min_by(F.struct("matched", "windows", "conflicts", "coverage"), "reading").alias("r"))
+        .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "r.*")
     )
 
 

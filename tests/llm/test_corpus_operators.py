@@ -133,6 +133,22 @@ def test_reparameterised_questions(spark, odd):
     assert row == "we met \x02john \x02smith he ran \x035 \x04km in \x03two \x04hours"
 
 
+def leaked(spark, item, *texts):
+    """The numbers of the texts that contain the item."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return sorted(r.doc_id for r in decontamination.leaks(docs, bench).collect())
+
+
+def test_names_at_any_place_and_in_any_case(spark):
+    item = "Anna has 3 red apples. Anna buys 4 more. Bob eats 2 of them. How many apples does Anna have?"
+    other = "Maria has 5 red apples. Maria buys 9 more. Tom eats 6 of them. How many apples does Maria have?"
+    mixed = "Maria has 5 red apples. Tom buys 9 more. Tom eats 6 of them. How many apples does Maria have?"
+    assert leaked(spark, item, item, other, "They left early. " + other, "Nothing of the kind, they said.", mixed) == [0, 1, 2]
+    item = "the friends Anna Lee, Bob Ray, Carl Moss and Dora Finch met Emil at noon, then they all walked home with Fred"
+    assert leaked(spark, item, item.lower(), item.upper(), item.replace(" ", "  "), "so " + item.replace(" ", "\n\t")) == [0, 1, 2, 3]
+
+
 def test_quality_without_labels(spark, odd):
     got = queries.QUERIES["op7_quality"](spark, "/root/testdata/sf0.01").join(labels(spark, "/root/testdata/sf0.01"), "doc_id").toPandas()
     assert (~got[got.quality == 1].rejected).mean() > 0.98
