@@ -108,15 +108,17 @@ def _read_again(own: DataFrame, bench: DataFrame, window: int, literals: int, br
     """``id``, ``item``, ``matched``, ``windows``, ``conflicts`` by templates with names at any place and by plain words.
 
     Both sides are ``valued`` by STEPS_PLACED.  All windows of an item count, and
-    a conflict takes away only what its alignment's templates matched.
+    a conflict takes away only what its alignment's templates matched.  An item
+    shorter than a window is one window of its own length; of fewer than
+    ``literals`` words it isn't looked for here.
     """
     plain = F.translate("values", NAME + NUMBER + UNIT, "")
     items = (
         bench.where("values <> ''")
         .dropDuplicates(["item", "values"])
         .select("item", F.split("values", " ").alias("values"), F.split(template(F.col("values")), " ").alias("list"), F.split(plain, " ").alias("words"))
-        .where(F.size("list") >= window)
-        .select("*", F.explode(F.sequence(F.lit(0), F.size("list") - window)).alias("at"))
+        .where(F.size("list") >= min(literals, window))
+        .select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("list") - window, F.lit(0)))).alias("at"))
         .select("item", "at", *[F.slice(c, F.col("at") + 1, window).alias(c) for c in ("values", "list", "words")])
         .withColumn("literal", F.size(F.filter("list", lambda w: ~w.isin(NAME, NUMBER, UNIT))))
     )
@@ -126,7 +128,8 @@ def _read_again(own: DataFrame, bench: DataFrame, window: int, literals: int, br
     index = words.unionByName(slots).distinct()
     if index.limit(broadcast_windows + 1).count() <= broadcast_windows:
         index = F.broadcast(index)
-    runs = [_windows(template(F.col("values")), window), _windows(plain, window)]
+    sizes = sorted(r.n for r in items.select(F.size("list").alias("n")).distinct().collect())  # at most window numbers
+    runs = [_windows(template(F.col("values")), window), *[_windows(plain, n) for n in sizes]]
     found = written(
         own.select("id", F.explode(F.array(*runs)).alias("runs")).select("id", F.posexplode("runs").alias("pos", "h")).join(index, "h").select("id", "item", "at", "pos", "slotted").distinct(),
         "word-windows",
@@ -165,7 +168,8 @@ def leaks(
     with fewer than ``literals`` literal words aren't indexed, unless the item is
     shorter than a window; such an item is found only where it is the whole
     document.  Pairs that this doesn't report are judged by the second reading,
-    whose ``windows`` are all of the item's.  Null and empty texts contain nothing; rows that repeat an id count
+    whose ``windows`` are all of the item's; it finds items of ``literals`` words
+    or more inside a document, too.  Null and empty texts contain nothing; rows that repeat an id count
     once; empty tables give an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col(item_text_col).cast("string"), F.lit(""))

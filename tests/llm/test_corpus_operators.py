@@ -149,6 +149,15 @@ def test_names_at_any_place_and_in_any_case(spark):
     assert leaked(spark, item, item.lower(), item.upper(), item.replace(" ", "  "), "so " + item.replace(" ", "\n\t")) == [0, 1, 2, 3]
 
 
+def test_items_of_few_literals_and_few_words(spark):
+    names = "Did Isaac Newton, Robert Hooke, Edmond Halley, Gottfried Leibniz, Christiaan Huygens or Robert Boyle write Principia Mathematica?"
+    assert leaked(spark, names, names, "He asked: " + names + " Nobody knew.", names.replace("Newton", "Barrow").replace("Hooke", "Wren").replace("Boyle", "Moray")) == [0, 1]
+    numbers = "12 7 1990 33 4 5 18 2001 77 6"
+    assert leaked(spark, numbers, "Table 1: " + numbers + " and so on", "12 8 1991 34 5 6 19 2002 78 7") == [0]
+    short = "What is the capital city of France?"
+    assert leaked(spark, short, short, "Quiz. " + short + " It is Paris.", "Quiz. What is the capital city of Spain? It is Madrid.") == [0, 1]
+
+
 def test_quality_without_labels(spark, odd):
     got = queries.QUERIES["op7_quality"](spark, "/root/testdata/sf0.01").join(labels(spark, "/root/testdata/sf0.01"), "doc_id").toPandas()
     assert (~got[got.quality == 1].rejected).mean() > 0.98
