@@ -158,6 +158,15 @@ def test_items_of_few_literals_and_few_words(spark):
     assert leaked(spark, short, short, "Quiz. " + short + " It is Paris.", "Quiz. What is the capital city of Spain? It is Madrid.") == [0, 1]
 
 
+def test_near_copy_with_one_value_changed(spark):
+    item = (
+        "In 1990 the firm built its first mill by the river and hired nearly all of the people who lived in the valley, "
+        "which made it larger than its rival of 1990 had been when the old bridge to the town was still open"
+    )
+    again = item.replace("rival of 1990", "rival of 1987")
+    assert leaked(spark, item, item, again, "They say: " + again, item.upper().replace("RIVAL OF 1990", "RIVAL OF 1987")) == [0, 1, 2, 3]
+
+
 def test_quality_without_labels(spark, odd):
     got = queries.QUERIES["op7_quality"](spark, "/root/testdata/sf0.01").join(labels(spark, "/root/testdata/sf0.01"), "doc_id").toPandas()
     assert (~got[got.quality == 1].rejected).mean() > 0.98
