@@ -274,9 +274,8 @@ def text_bits(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]
         keys, sizes = windows(some)
         some_keys, number = distinct(keys)
         cost = model.bits(some_keys)[number]
-        total = np.concatenate(([0.0], np.cumsum(cost)))
-        ends = np.cumsum(sizes)
-        out[lo : lo + len(some)] = total[ends] - total[ends - sizes]
+        # summed text by text in float64, so that a text's bits don't depend on what stands before it
+        out[lo : lo + len(some)] = np.add.reduceat(cost, np.cumsum(sizes) - sizes, dtype=np.float64)
         length[lo : lo + len(some)] = sizes
     return out, length
 

@@ -262,6 +262,17 @@ def test_windows_and_probabilities():
     assert math.isclose((2.0 ** -every.astype(float)).sum(), 1, rel_tol=1e-3)  # a distribution over bytes
 
 
+def test_bits_do_not_depend_on_the_batch():
+    tables = lm_scoring.empty_tables()
+    short = b"abcdefgh " * 400
+    keys, number = lm_scoring.distinct(lm_scoring.windows([short])[0])
+    lm_scoring.count_into(tables, keys, np.bincount(number, minlength=len(keys)).astype(np.float32))
+    model = lm_scoring.learn_mixer(tables, [])
+    noise = random.Random(5).randbytes(4 << 20).translate(bytes(33 + i % 90 for i in range(256)))
+    alone = lm_scoring.text_bits([short], model)[0][0]
+    assert math.isclose(lm_scoring.text_bits([short, noise, short], model)[0][2], alone, rel_tol=1e-9)
+
+
 def test_pipeline_stages_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = documents(spark, sf)
