@@ -1,55 +1,59 @@
 """Language-model scores by logistic context mixing over bits.
 
 A text is its words joined by single blanks and an end sign.  Every byte is
-predicted bit by bit: per order, the last bytes and the bits so far hash to a slot
-whose counts of zeros and ones come from all training texts.  The predictors'
-log odds are mixed with weights that a gate selects by how often the longer
-contexts were seen; an adaptive map refines the mix.  Weights and map are learned
-online over training texts, each bit's own count left out.  Summed over a text
-this gives its bits, hence its probability.
-
-Every prediction depends on a window of a few bytes, so that each distinct
-window of a batch is predicted once.
+predicted bit by bit: per order, the counts of zeros and ones behind the last
+bytes and the bits so far come from all training texts.  The predictors' log odds
+are mixed with weights that a gate selects by how often the longer contexts were
+seen; an adaptive map refines the mix.  Weights and map are learned online over
+all training texts, each bit's own count left out.  Summed over a text this gives
+its bits, hence its probability.
+
+The counts are exact and grow with the training text: a distributed table of
+distinct windows (a few bytes that end in the predicted one), dealt by the three
+bytes before the predicted one, so that all longer contexts of a window lie in its
+part.  Shorter contexts, of which there is a bounded number, go to all executors.
+The windows to be scored are sent to the parts and come back as costs.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import batches_of, shuffle_parts, tidied, written
 from .textkit import as_bytes, hashed_words, mix
 
 _U = np.uint64
-#: Context bytes of the predictors, and the bits of their tables (a fixed size, whatever the corpus).
+#: Context bytes of the predictors.
 #: The last predictor's context is the word so far, as much of it as LONGEST bytes hold.
-ORDERS, TABLE_BITS = (1, 2, 4, 5), (16, 18, 21, 22, 22)
+ORDERS = (1, 2, 4, 5)
 PREDICTORS = len(ORDERS) + 1
 LONGEST = max(ORDERS)
-#: Slots in a block of a table, which is the unit that tasks exchange; partial tables summed at once.
-BLOCK_BITS, FAN_IN = 15, 256
-#: Partitions of the input that one task counts together: partial tables grow with the input, but a few times fewer.
+#: Windows are dealt by the SHARED bytes before the predicted one; shorter contexts are counted for all parts, in so many groups.
+SHARED, SHORT_GROUPS = 3, 16
+_SHORT = 1 << 8 * SHARED  # keys below it have a context of fewer bytes
+#: Partitions of the input that one task of the vocabulary counts together.
 COALESCE = 4
+#: Distinct windows that a counting task holds before it sends them, and windows predicted at once.
+HELD, AT_ONCE = 4_000_000, 1 << 18
 #: Bytes of text in a batch of windows.
 SLICE = 5 << 20
-#: Bytes of training text, of one text, and texts that the mixer learns from, at most.
-MIXER_BYTES, MIXER_TEXT, MIXER_TEXTS = 1 << 20, 32 << 10, 600
 #: Words whose counts are sent to all executors, at most; the others are joined.
 FREQUENT = 1 << 20
 END = 1  # stands for the end token among word hashes
 #: Gate: steps in how often the word so far and the contexts of orders 5 and 4 were seen.
 GATES = 4 * 4 * 3
 GATING = (2, 3, 4)
-#: Times that the mixer goes over its texts.
-PASSES = 2
+#: Times that the mixer goes over a part's windows between averages, and averages.
+PASSES, ROUNDS = 2, 2
 MAP_STEPS = 33
 
 
@@ -102,48 +106,56 @@ def word_so_far(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_order(keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray | None]]:
-    """Per order, the distinct windows that end there, and each key's number among them.
+class Table:
+    """Exact counts of contexts with their next byte, by key (context bytes, then the byte), sorted."""
 
-    From the longest order down, so that short contexts cost next to nothing.
-    None as numbers: the keys themselves.
-    """
-    out: list[tuple[np.ndarray, np.ndarray | None]] = [(keys, None)] * PREDICTORS
-    out[-1] = distinct(word_so_far(keys))
-    some, number = keys, None
-    for i in range(len(ORDERS) - 1, -1, -1):
-        if ORDERS[i] < LONGEST:
-            some, step = distinct(some & _U((1 << 8 * (ORDERS[i] + 1)) - 1))
-            number = step if number is None else step[number]
-        out[i] = (some, number)
-    return out
+    def __init__(self, keys: np.ndarray | None = None, counts: np.ndarray | None = None) -> None:
+        self.keys = np.zeros(0, _U) if keys is None else keys
+        self.total = np.concatenate(([0.0], np.cumsum(np.zeros(0) if counts is None else counts, dtype=np.float64)))
 
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Add counts of keys in any order."""
+        self.__init__(*_summed(np.concatenate((self.keys, keys)), np.concatenate((np.diff(self.total), counts))))
 
-def _spread(some: np.ndarray, i: int) -> np.ndarray:
-    """A hash of the context bytes of order number ``i``."""
-    return mix((some >> _U(8)) * _U(0x9E3779B97F4A7C15) + _U(i + 1))
+    def below(self, bound: np.ndarray) -> np.ndarray:
+        """The sum of the counts of all keys below each bound."""
+        return self.total[np.searchsorted(self.keys, bound)]
 
+    def nodes(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Bit by bit, how often a zero and a one followed the context and the bits so far."""
+        low = keys & ~_U(255)
+        before, after = self.below(low), self.below(low + _U(256))
+        for bit in range(8):
+            half = _U(128 >> bit)
+            middle = self.below(low + half)
+            yield middle - before, after - middle
+            one = (keys & half) != 0
+            low = np.where(one, low + half, low)
+            before, after = np.where(one, middle, before), np.where(one, after, middle)
 
-def _slot(context: np.ndarray, byte: np.ndarray, bit: int, bits: int) -> np.ndarray:
-    """The slot of the ``bit``-th bit of each byte."""
-    node = (_U(1) << _U(bit)) | (byte >> _U(8 - bit))
-    return (((context ^ node * _U(0xD6E8FEB86659FD93)) * _U(0xC2B2AE3D27D4EB4F)) >> _U(64 - bits)).astype(np.int64)
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts[order], first, dtype=np.float64) if len(first) else np.zeros(0)
 
-def count_into(tables: list[np.ndarray], keys: np.ndarray, counts: np.ndarray) -> None:
-    """Add windows to the tables (per order: slots x [zeros, ones], flat)."""
-    for i, (some, number) in enumerate(_by_order(keys)):
-        times = counts if number is None else np.bincount(number, counts, minlength=len(some)).astype(np.float32)
-        byte = some & _U(255)
-        context = _spread(some, i)
-        for bit in range(8):
-            one = ((byte >> _U(7 - bit)) & _U(1)).astype(np.int64)
-            np.add.at(tables[i], _slot(context, byte, bit, TABLE_BITS[i]) * 2 + one, times)
+
+def _context_keys(keys: np.ndarray) -> list[np.ndarray]:
+    """Per predictor, the windows cut to its context and the predicted byte."""
+    return [keys & _U((1 << 8 * (order + 1)) - 1) for order in ORDERS] + [word_so_far(keys)]
+
+
+def count_into(tables: list[Table], keys: np.ndarray, counts: np.ndarray) -> None:
+    """Add windows to the tables, one for each order."""
+    for table, some in zip(tables, _context_keys(keys), strict=True):
+        table.add(some, counts)
 
 
-def empty_tables() -> list[np.ndarray]:
-    """A count of zeros and ones for each slot of each order."""
-    return [np.zeros(2 << bits, np.float32) for bits in TABLE_BITS]
+def empty_tables() -> list[Table]:
+    """A table without counts for each order."""
+    return [Table() for _ in range(PREDICTORS)]
 
 
 def _log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -157,32 +169,33 @@ def _level(seen: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Log odds and levels by slot, mixing weights by gate, and the refining map."""
+    """Counts, mixing weights by gate, and the refining map."""
 
-    odds: list[np.ndarray]
-    levels: list[np.ndarray]
+    tables: list[Table]
     weights: np.ndarray
     refine: np.ndarray
 
     def bits(self, keys: np.ndarray) -> np.ndarray:
         """Bits that each window's byte costs."""
-        every = [(some & _U(255), _spread(some, i), number) for i, (some, number) in enumerate(_by_order(keys))]
-        own = keys & _U(255)
+        return np.concatenate([np.zeros(0, np.float32), *(self._bits(keys[lo : lo + AT_ONCE]) for lo in range(0, len(keys), AT_ONCE))])
+
+    def _bits(self, keys: np.ndarray) -> np.ndarray:
+        every = []
+        for table, some in zip(self.tables, _context_keys(keys), strict=True):
+            some, number = np.unique(some, return_inverse=True)
+            every.append((table.nodes(some), number))
         cost = np.zeros(len(keys), np.float32)
         for bit in range(8):
             odds, levels = [], []
-            for i, (byte, context, number) in enumerate(every):
-                slot = _slot(context, byte, bit, TABLE_BITS[i])
-                o = self.odds[i][slot].astype(np.float32)
-                odds.append(o if number is None else o[number])
+            for i, (nodes, number) in enumerate(every):
+                zeros, ones = next(nodes)
+                odds.append(_log_odds(zeros, ones).astype(np.float32)[number])
                 if i in GATING:
-                    v = self.levels[i][slot]
-                    levels.append(v if number is None else v[number])
+                    levels.append(_level(zeros + ones)[number])
             gate = _gate(levels)
             z = _mixed(self.weights, odds, gate)
             p = _refined(self.refine, z, gate)[0]
-            one = (own >> _U(7 - bit)) & _U(1)
-            cost -= np.log2(np.where(one == 1, p, 1 - p))
+            cost -= np.log2(np.where((keys >> _U(7 - bit)) & _U(1) == 1, p, 1 - p))
         return cost
 
 
@@ -208,51 +221,75 @@ def _refined(table: np.ndarray, z: np.ndarray, gate: np.ndarray) -> tuple[np.nda
     return np.clip(p, 1e-6, 1 - 1e-6, out=p), cell, share
 
 
-def learn_mixer(tables: list[np.ndarray], texts: list[bytes], step: int = 2048) -> Model:
-    """Weights and map, online over the windows of training texts."""
+def _start() -> np.ndarray:
+    """The weights before any window."""
     weights = np.full((GATES, PREDICTORS + 1), 0.2, np.float32)
     weights[:, -1] = 0
-    grid = np.linspace(-12, 12, MAP_STEPS)
-    refine = np.tile(1 / (1 + np.exp(-grid)), GATES).astype(np.float32)
-    if texts:
-        keys, _ = windows(texts)
-        starts = [lo for _ in range(PASSES) for lo in range(0, len(keys), step)]
-        for at, lo in enumerate(starts):
-            part = keys[lo : lo + step]
-            byte = part & _U(255)
-            contexts = [_spread(part & _U((1 << 8 * (order + 1)) - 1), i) for i, order in enumerate(ORDERS)]
-            contexts.append(_spread(word_so_far(part), PREDICTORS - 1))
-            rate = 0.02 / (1 + at / 100) + 0.001
-            for bit in range(8):
-                one = ((byte >> _U(7 - bit)) & _U(1)).astype(np.float32)
-                odds, levels = [], []
-                for i, table in enumerate(tables):
-                    slot = _slot(contexts[i], byte, bit, TABLE_BITS[i])
-                    zeros = np.maximum(table[slot * 2] - (1 - one), 0)  # its own count left out
-                    ones = np.maximum(table[slot * 2 + 1] - one, 0)
-                    odds.append(_log_odds(zeros, ones).astype(np.float32))
-                    if i in GATING:
-                        levels.append(_level(zeros + ones))
-                gate = _gate(levels)
-                z = _mixed(weights, odds, gate)
-                error = one - 1 / (1 + np.exp(-z))
-                seen = np.maximum(np.bincount(gate, minlength=GATES), 1)
-                for k in range(PREDICTORS + 1):
-                    push = np.bincount(gate, error * (odds[k] if k < PREDICTORS else 1), minlength=GATES)
-                    weights[:, k] += rate * push / np.sqrt(seen)
-                _, cell, share = _refined(refine, z, gate)
-                near = np.where(share > 0.5, cell + 1, cell)
-                hits = np.bincount(near, minlength=len(refine))
-                goal = np.bincount(near, one, minlength=len(refine))
-                mean = np.where(hits > 0, goal / np.maximum(hits, 1), refine)
-                refine += ((mean - refine) * (1 - 0.99**hits)).astype(np.float32)
-    refine = np.clip(refine, 1e-5, 1 - 1e-5)
-    odds = [
-        np.concatenate([_log_odds(t[lo : lo + (1 << 18) : 2], t[lo + 1 : lo + (1 << 18) : 2]).astype(np.float16) for lo in range(0, len(t), 1 << 18)])
-        for t in tables
-    ]
-    levels = [_level(t.reshape(-1, 2).sum(axis=1)) if i in GATING else np.zeros(0, np.uint8) for i, t in enumerate(tables)]
-    return Model(odds, levels, weights, refine)
+    return weights
+
+
+def _without_own(tables: list[Table], part: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Bit by bit: the bit, the predictors' log odds and the gate, each window's own count left out."""
+    every = [table.nodes(some) for table, some in zip(tables, _context_keys(part), strict=True)]
+    for bit in range(8):
+        one = ((part >> _U(7 - bit)) & _U(1)).astype(np.float32)
+        odds, levels = [], []
+        for i, nodes in enumerate(every):
+            zeros, ones = next(nodes)
+            zeros = np.maximum(zeros - (1 - one), 0)
+            ones = np.maximum(ones - one, 0)
+            odds.append(_log_odds(zeros, ones).astype(np.float32))
+            if i in GATING:
+                levels.append(_level(zeros + ones))
+        yield one, odds, _gate(levels)
+
+
+def learn_weights(tables: list[Table], keys: np.ndarray, counts: np.ndarray, weights: np.ndarray, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Weights learned online over distinct windows with their counts, in the order of a hash; the bits each gate saw."""
+    weights, seen = weights.copy(), np.zeros(GATES)
+    order = np.argsort(mix(keys.copy()))  # mix works in place
+    keys, counts = keys[order], counts[order]
+    starts = [lo for _ in range(PASSES) for lo in range(0, len(keys), step)]
+    for at, lo in enumerate(starts):
+        times = counts[lo : lo + step]
+        rate = 0.02 / (1 + at / 100) + 0.001
+        for one, odds, gate in _without_own(tables, keys[lo : lo + step]):
+            error = times * (one - 1 / (1 + np.exp(-_mixed(weights, odds, gate))))
+            some = np.bincount(gate, times, minlength=GATES)
+            seen += some
+            # the mean push times the root of as many windows as would weigh alike
+            scale = rate / np.sqrt(np.maximum(np.bincount(gate, times * times, minlength=GATES), 1))
+            for k in range(PREDICTORS + 1):
+                weights[:, k] += scale * np.bincount(gate, error * (odds[k] if k < PREDICTORS else 1), minlength=GATES)
+    return weights, seen
+
+
+def count_map(tables: list[Table], keys: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per cell of the refining map, the bits that met it and the ones among them."""
+    found = np.zeros((2, GATES * MAP_STEPS))
+    flat = np.zeros(GATES * MAP_STEPS, np.float32)
+    for lo in range(0, len(keys), AT_ONCE):
+        times = counts[lo : lo + AT_ONCE]
+        for one, odds, gate in _without_own(tables, keys[lo : lo + AT_ONCE]):
+            _, cell, share = _refined(flat, _mixed(weights, odds, gate), gate)
+            for place, part in ((cell, 1 - share), (cell + 1, share)):
+                found[0] += np.bincount(place, times * part, minlength=len(flat))
+                found[1] += np.bincount(place, times * part * one, minlength=len(flat))
+    return found
+
+
+def refining(found: np.ndarray) -> np.ndarray:
+    """The map of these counts; where there are few, near to no refinement."""
+    start = np.tile(1 / (1 + np.exp(-np.linspace(-12, 12, MAP_STEPS))), GATES)
+    return np.clip((found[1] + 4 * start) / (found[0] + 4), 1e-5, 1 - 1e-5).astype(np.float32)
+
+
+def learn_mixer(tables: list[Table], texts: list[bytes]) -> Model:
+    """The model of these tables, with weights and map learned from the texts."""
+    keys = windows(texts)[0] if texts else np.zeros(0, _U)
+    own = _summed(keys, np.ones(len(keys)))
+    weights, _ = learn_weights(tables, *own, _start())
+    return Model(tables, weights, refining(count_map(tables, *own, weights)))
 
 
 def _slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -266,132 +303,204 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         i = j
 
 
+def _sorted_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct windows, sorted, each position's number among them, and each text's number of bytes."""
+    keys, sizes = windows(texts)
+    some, number = distinct(keys)
+    some, back = np.unique(some, return_inverse=True)
+    return some, back[number], sizes
+
+
+def _per_text(cost: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums text by text in float64, so that a text's bits don't depend on what stands before it."""
+    return np.add.reduceat(cost, np.cumsum(sizes) - sizes, dtype=np.float64)
+
+
 def text_bits(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Total bits of each whole text, its end included, and its bytes."""
     out = np.zeros(len(texts))
     length = np.zeros(len(texts), np.int64)
     for lo, some in _slices(texts):
-        keys, sizes = windows(some)
-        some_keys, number = distinct(keys)
-        cost = model.bits(some_keys)[number]
-        # summed text by text in float64, so that a text's bits don't depend on what stands before it
-        out[lo : lo + len(some)] = np.add.reduceat(cost, np.cumsum(sizes) - sizes, dtype=np.float64)
+        keys, number, sizes = _sorted_windows(some)
+        out[lo : lo + len(some)] = _per_text(model.bits(keys)[number], sizes)
         length[lo : lo + len(some)] = sizes
     return out, length
 
 
-_BLOCKS = "part long, o int, block int, counts binary"
-
-
 def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+    """Eight-byte numbers, compressed byte plane by byte plane."""
+    return zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), np.float32)
+    planes = np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(_U)
 
 
-def gather(training: DataFrame) -> DataFrame:
-    """The tables of all training texts (one column ``text``), in blocks.
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=_U(0)))
 
-    Every task sends the blocks that it filled; blocks are summed by key, at
-    most FAN_IN of them at a time.  The sums' size is fixed.
+
+def _unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b), dtype=_U)
+
+
+def _parted(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of sorted windows in the order of their parts, and where each part begins and ends."""
+    part = (mix((keys >> _U(8)) & _U(_SHORT - 1)) % _U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+_COUNTS = "part int, keys binary, counts binary"
+
+
+def gather(training: DataFrame, parts: int) -> DataFrame:
+    """``part``, ``keys``, ``counts``: all distinct windows of the training texts (one column ``text``).
+
+    Negative parts hold the contexts of fewer than SHARED bytes: order 2, and with
+    the next higher bit set the word so far.
     """
-    spark = training.sparkSession
-    before = training.rdd.getNumPartitions()
-    tasks = max(1, -(-before // COALESCE))
-    width = 2 << BLOCK_BITS
 
     @tidied
-
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = empty_tables()
-        any_text = False
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pd.DataFrame:
+            keys, counts = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            order, cuts = _parted(keys, parts)
+            rows = [(p, keys[o], counts[o]) for p in np.flatnonzero(np.diff(cuts)) for o in (order[cuts[p] : cuts[p + 1]],)]
+            words = word_so_far(keys)
+            few = words < _U(_SHORT)
+            short = _summed(np.concatenate((keys & _U(_SHORT - 1), words[few] + _U(_SHORT))), np.concatenate((counts, counts[few])))
+            group = mix(short[0].copy()) % _U(SHORT_GROUPS)
+            rows += [(-1 - g, *(a[group == _U(g)] for a in short)) for g in range(SHORT_GROUPS)]
+            held.clear()
+            return pd.DataFrame({"part": [r[0] for r in rows], "keys": [_pack_keys(r[1]) for r in rows], "counts": [_pack(r[2]) for r in rows]})
+
         for batch in batches:
             for _, some in _slices(as_bytes(batch["text"])):
                 keys, number = distinct(windows(some)[0])
-                count_into(tables, keys, np.bincount(number, minlength=len(keys)).astype(np.float32))
-                any_text = True
-        part = TaskContext.get().partitionId()
-        for o, table in enumerate(tables if any_text else []):
-            blocks = table.reshape(-1, min(width, len(table)))
-            full = np.flatnonzero(blocks.any(axis=1))
-            yield pd.DataFrame({"part": part, "o": o, "block": full, "counts": [_pack(blocks[b]) for b in full]})
+                held.append((keys, np.bincount(number, minlength=len(keys)).astype(float)))
+                size += len(keys)
+                if size > HELD:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
-    @tidied
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, counts = _summed(np.concatenate([_unpack_keys(k) for k in rows["keys"]]), np.concatenate([_unpack(c).view(float) for c in rows["counts"]]))
+        return pd.DataFrame({"part": rows["part"][:1], "keys": [_pack_keys(keys)], "counts": [_pack(counts)]})
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[int, int, int], np.ndarray] = {}
-        for batch in batches:
-            for part, o, block, counts in zip(batch["part"], batch["o"], batch["block"], batch["counts"], strict=True):
-                key = (part // FAN_IN, o, block)
-                got = _unpack(counts)
-                if key in sums:
-                    sums[key] += got
-                else:
-                    sums[key] = got.astype(np.float64)
-        for (part, o, block), total in sums.items():
-            yield pd.DataFrame({"part": [part], "o": [o], "block": [block], "counts": [_pack(total.astype(np.float32))]})
-
-    partial = training.coalesce(tasks).mapInPandas(count, _BLOCKS)
-    left = tasks
-    while True:
-        partial = partial.repartition(shuffle_parts(spark), F.floor(F.col("part") / FAN_IN), "o", "block").mapInPandas(add, _BLOCKS)
-        left = -(-left // FAN_IN)
-        if left <= 1:
-            break
-    return written(partial, "lm-tables")
+    return written(training.mapInPandas(count, _COUNTS).groupBy("part").applyInPandas(add, _COUNTS), "lm-windows")
+
+
+Counts = tuple[np.ndarray, np.ndarray]
 
 
-_PART = "name string, at int, size int, content binary"
+def _tables(short: Counts, own: Counts) -> list[Table]:
+    """The tables of one part, from the short contexts of all and its own windows."""
+    tables = []
+    two = short[0] < _U(_SHORT)
+    for order in ORDERS:
+        keys, counts = own if order >= SHARED else (short[0][two], short[1][two])
+        tables.append(Table(*_summed(keys & _U((1 << 8 * (order + 1)) - 1), counts)))
+    words = word_so_far(own[0])
+    long = words >= _U(_SHORT)
+    tables.append(Table(*_summed(np.concatenate((short[0][~two] - _U(_SHORT), words[long])), np.concatenate((short[1][~two], own[1][long])))))
+    return tables
 
 
-def learn(training: DataFrame) -> Model:
-    """The model of all training texts (one column ``text``).
+def learn(counted: DataFrame) -> tuple[Counts, np.ndarray, np.ndarray]:
+    """The short contexts, and the weights and the map that all windows of the training texts give.
 
-    The tables, of fixed size, and at most MIXER_BYTES of whole texts, drawn in
-    hash order, meet in one task that learns the mixer; the driver gets the
-    model, again of fixed size.
+    Every part learns online over its own windows, and the weights are averaged by
+    the bits that each gate saw, ROUNDS times; then the map is counted over all
+    windows.  The driver gets a few KB from each task.
     """
-    size = F.octet_length("text")
-    drawn = (
-        training.where((size > 0) & (size <= MIXER_TEXT))
-        .select("text", F.xxhash64("text").alias("h"))
-        .orderBy("h", "text")
-        .limit(MIXER_TEXTS)
-        .select(F.lit(-1).alias("o"), F.lit(0).alias("block"), F.col("text").cast("binary").alias("counts"))
-    )
-    rows = written(gather(training).select("o", "block", "counts").unionByName(drawn), "lm-learning")
+    spark = counted.sparkSession
+    got = [(_unpack_keys(r["keys"]), _unpack(r["counts"]).view(float)) for r in counted.where("part < 0").toLocalIterator()]
+    short = _summed(np.concatenate([np.zeros(0, _U), *(k for k, _ in got)]), np.concatenate([np.zeros(0), *(c for _, c in got)]))
+    shared = spark.sparkContext.broadcast(short)
 
-    @tidied
+    def over_parts(f: Callable[[list[Table], np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+        """The sum of the arrays of all parts; None without parts."""
+
+        @tidied
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = None
+            for batch in batches:
+                for k, c in zip(batch["keys"], batch["counts"], strict=True):
+                    own = _unpack_keys(k), _unpack(c).view(float)
+                    new = f(_tables(shared.value, own), *own)
+                    total = new if total is None else total + new
+            if total is not None:
+                yield pd.DataFrame({"sums": [total.astype(float).tobytes()]})
+
+        rows = counted.where("part >= 0").repartition(shuffle_parts(spark), "part").mapInPandas(run, "sums binary").collect()
+        return sum(np.frombuffer(r["sums"]) for r in rows) if rows else None
+
+    weights = _start()
+    for _ in range(ROUNDS):
+
+        def weigh(tables: list[Table], keys: np.ndarray, counts: np.ndarray, weights: np.ndarray = weights) -> np.ndarray:
+            new, seen = learn_weights(tables, keys, counts, weights)
+            return np.column_stack((new * seen[:, None], seen)).ravel()
+
+        sums = over_parts(weigh)
+        if sums is not None:
+            sums = sums.reshape(GATES, -1)
+            seen = sums[:, -1:]
+            weights = np.where(seen > 0, sums[:, :-1] / np.maximum(seen, 1), weights).astype(np.float32)
+    found = over_parts(lambda tables, keys, counts: count_map(tables, keys, counts, weights).ravel())
+    return short, weights, refining(np.zeros((2, GATES * MAP_STEPS)) if found is None else found.reshape(2, -1))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables, texts = empty_tables(), []
+
+_ASKED = "part int, slice long, keys binary, id string, h long, text string"
+_ROWS = "id string, h long, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, times array<int>"
+
+
+def _asker(parts: int) -> Callable:
+    """Texts with the number of their slice (part -1), and each slice's distinct windows by part."""
+
+    @tidied
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for o, block, counts in zip(batch["o"], batch["block"], batch["counts"], strict=True):
-                if o < 0:
-                    texts.append(counts)
-                    continue
-                got = _unpack(counts)
-                tables[o][block * len(got) : (block + 1) * len(got)] += got
-        some, room = [], MIXER_BYTES
-        for text in sorted(texts, key=lambda t: (xxhash.xxh64_intdigest(t), t)):
-            if len(text) <= room:
-                some.append(text)
-                room -= len(text)
-        model = learn_mixer(tables, some)
-        parts = [("weights", 0, model.weights), ("refine", 0, model.refine)]
-        parts += [("odds", i, a) for i, a in enumerate(model.odds)] + [("levels", i, a) for i, a in enumerate(model.levels)]
-        for name, at, a in parts:
-            yield pd.DataFrame({"name": [name], "at": [at], "size": [a.size], "content": [a.tobytes()]})
-
-    got = {(r.name, r.at): r.content for r in written(rows.coalesce(1).mapInPandas(run, _PART), "lm-model").toLocalIterator()}
-    return Model(
-        [np.frombuffer(got["odds", i], np.float16) for i in range(PREDICTORS)],
-        [np.frombuffer(got["levels", i], np.uint8) for i in range(PREDICTORS)],
-        np.frombuffer(got["weights", 0], np.float32).reshape(GATES, PREDICTORS + 1),
-        np.frombuffer(got["refine", 0], np.float32),
-    )
+            for lo, some in _slices(as_bytes(batch["text"])):
+                yield batch[lo : lo + len(some)].assign(part=-1, slice=at, keys=None)[["part", "slice", "keys", "id", "h", "text"]]
+                keys = _sorted_windows(some)[0]
+                order, cuts = _parted(keys, parts)
+                full = np.flatnonzero(np.diff(cuts))
+                packed = [_pack_keys(keys[order[cuts[p] : cuts[p + 1]]]) for p in full]
+                yield pd.DataFrame({"part": full, "slice": at, "keys": packed, "id": None, "h": 0, "text": None})
+                at += 1
+
+    return ask
+
+
+def priced(counted: DataFrame, asked: DataFrame) -> DataFrame:
+    """``part``, ``slice``, ``costs``: the bits of each window asked for, under the model of the counted windows."""
+    shared = counted.sparkSession.sparkContext.broadcast(learn(counted))
+
+    def price(rows: pd.DataFrame) -> pd.DataFrame:
+        short, weights, refine = shared.value
+        own = np.zeros(0, _U), np.zeros(0)
+        for k, c in zip(rows["keys"], rows["counts"], strict=True):
+            if c is not None:
+                own = _unpack_keys(k), _unpack(c).view(float)
+        rows = rows[rows["counts"].isna()]
+        blocks = [_unpack_keys(k) for k in rows["keys"]]
+        keys, number = np.unique(np.concatenate([np.zeros(0, _U), *blocks]), return_inverse=True)
+        cost = Model(_tables(short, own), weights, refine).bits(keys)
+        cuts = np.cumsum([0, *(len(b) for b in blocks)])
+        return pd.DataFrame({"part": rows["part"], "slice": rows["slice"], "costs": [cost[number[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+
+    none = F.lit(None).cast("binary")
+    both = counted.where("part >= 0").select("part", F.lit(-1).cast("long").alias("slice"), "keys", "counts").unionByName(asked.withColumn("counts", none))
+    return both.groupBy("part").applyInPandas(price, "part int, slice long, costs binary")
 
 
 def vocabulary(training: DataFrame) -> DataFrame:
@@ -446,7 +555,13 @@ def score(
 def _scored(docs: DataFrame, training: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     learned = training.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    model = spark.sparkContext.broadcast(learn(learned))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # ids of any type travel through pandas as text
+    asked = docs.select(F.to_json(F.struct(F.col(id_col).alias("id"))).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    parts = max(shuffle_parts(spark), 2 * max(docs.rdd.getNumPartitions(), training.rdd.getNumPartitions()))
+    counted = gather(learned, parts)
+    sliced = written(asked.mapInPandas(_asker(parts), _ASKED), "lm-texts")
+    costs = priced(counted, sliced.where("part >= 0").select("part", "slice", "keys"))
 
     vocab = written(vocabulary(learned), "lm-vocabulary")
     total = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -472,53 +587,42 @@ def _scored(docs: DataFrame, training: DataFrame, id_col: str, text_col: str) ->
     known = spark.sparkContext.broadcast((names[order], np.frombuffer(b"".join(r.c for r in packed), np.int64)[order].astype(float)))
     del packed, names, order
 
-    @F.pandas_udf("n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, times array<int>")
-    @tidied
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def measure(texts: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         names, counts = known.value
         logs = np.log10(counts + 1)
         end_log = float(logs[at[0]]) if len(at := np.flatnonzero(names == _U(END))) else 0.0
-        for batch in batches:
-            parts = []
-            raw = as_bytes(batch)
-            bits, length = text_bits(raw, model.value)
-            for lo, some in _slices(raw):
-                hashes, offsets = hashed_words(some)
-                owner = np.repeat(np.arange(len(some)), np.diff(offsets))
-                if len(names) and len(hashes):
-                    words, number = distinct(hashes)
-                    found = np.minimum(np.searchsorted(names, words), len(names) - 1)
-                    place, hit = found[number], (names[found] == words)[number]
-                else:
-                    place, hit = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-                base = np.bincount(owner[hit], logs[place[hit]], minlength=len(some)) + end_log
-                seen = np.bincount(owner[hit], minlength=len(some)) + (end_log > 0)
-                others, whose = hashes[~hit], owner[~hit]
-                cut = np.searchsorted(whose, np.arange(len(some) + 1))
-                rare, times = [], []
-                for a, b in zip(cut[:-1], cut[1:], strict=True):
-                    w, c = np.unique(others[a:b], return_counts=True)
-                    rare.append(w.view(np.int64))
-                    times.append(c.astype(np.int32))
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            "n_tokens": np.diff(offsets) + 1,
-                            "n_known": seen.astype(np.int64),
-                            "base": base,
-                            "score": -bits[lo : lo + len(some)] * np.log10(2.0),
-                            "n_bytes": length[lo : lo + len(some)],
-                            "rare": rare,
-                            "times": times,
-                        }
-                    )
-                )
-            yield pd.concat(parts)
-
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = written(
-        docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), measure(text).alias("m")).select("id", "h", "m.*"), "lm-rows"
-    )
+        some = as_bytes(texts["text"])
+        keys, number, sizes = _sorted_windows(some)
+        order, cuts = _parted(keys, parts)
+        cost = np.zeros(len(keys), np.float32)
+        for p, c in zip(blocks["part"], blocks["costs"], strict=True):
+            cost[order[cuts[p] : cuts[p + 1]]] = np.frombuffer(c, np.float32)
+        bits = _per_text(cost[number], sizes)
+        hashes, offsets = hashed_words(some)
+        owner = np.repeat(np.arange(len(some)), np.diff(offsets))
+        if len(names) and len(hashes):
+            words, number = distinct(hashes)
+            found = np.minimum(np.searchsorted(names, words), len(names) - 1)
+            place, hit = found[number], (names[found] == words)[number]
+        else:
+            place, hit = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        base = np.bincount(owner[hit], logs[place[hit]], minlength=len(some)) + end_log
+        seen = np.bincount(owner[hit], minlength=len(some)) + (end_log > 0)
+        others, whose = hashes[~hit], owner[~hit]
+        cut = np.searchsorted(whose, np.arange(len(some) + 1))
+        rare, times = [], []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            w, c = np.unique(others[a:b], return_counts=True)
+            rare.append(w.view(np.int64))
+            times.append(c.astype(np.int32))
+        out = {"id": texts["id"], "h": texts["h"], "n_tokens": np.diff(offsets) + 1, "n_known": seen.astype(np.int64), "base": base}
+        out |= {"score": -bits * np.log10(2.0), "n_bytes": sizes, "rare": rare, "times": times}
+        return pd.DataFrame(out)
+
+    texts = sliced.where("part < 0").select("slice", "id", "h", "text")
+    rows = written(texts.groupBy("slice").cogroup(costs.groupBy("slice")).applyInPandas(measure, _ROWS), "lm-rows")
+    of_id = T.StructType([T.StructField("id", docs.schema[id_col].dataType)])
+    rows = rows.withColumn("id", F.from_json("id", of_id)["id"])
     end_is_rare = not bool((known.value[0] == _U(END)).any())
     wanted = rows.select("id", "h", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("id", "h", F.col("z.rare").alias("w"), F.col("z.times").alias("times"))
     if end_is_rare:

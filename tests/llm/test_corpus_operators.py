@@ -273,6 +273,31 @@ def test_bits_do_not_depend_on_the_batch():
     assert math.isclose(lm_scoring.text_bits([short, noise, short], model)[0][2], alone, rel_tol=1e-9)
 
 
+def test_contexts_are_counted_exactly_and_scored_in_parts(spark):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choices("abcdefghij klmnop", k=3000)) for _ in range(60)] + ["\u0000 odd \u0000\u0000x", ""]
+    training = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counted = lm_scoring.gather(training, 7)
+    got = {}
+    for r in counted.where("part >= 0").collect():
+        got |= zip(lm_scoring._unpack_keys(r["keys"]).tolist(), lm_scoring._unpack(r["counts"]).view(float).tolist(), strict=True)
+    keys = lm_scoring.windows([t.encode() for t in texts])[0]
+    assert got == Counter(keys.tolist()) and len(got) > 100_000  # grows with the text
+    _, weights, refine = lm_scoring.learn(counted)
+    tables = lm_scoring.empty_tables()
+    lm_scoring.count_into(tables, keys, np.ones(len(keys)))
+    asked = [*texts[:3], "never a b seen " * 3, texts[-2], ""]
+    bits = lm_scoring.text_bits([t.encode() for t in asked], lm_scoring.Model(tables, weights, refine))[0]
+    docs = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in lm_scoring.score(docs, training).collect()}
+    # the number of parts changes the mixer a little, not the counts
+    assert all(math.isclose(-scores[i] / math.log10(2), b, rel_tol=0.05) for i, b in enumerate(bits))
+    short, *_ = lm_scoring.learn(counted)
+    own = lm_scoring._summed(keys, np.ones(len(keys)))
+    for a, b in zip(lm_scoring._tables(short, own), tables, strict=True):
+        assert (a.keys == b.keys).all() and (a.total == b.total).all()
+
+
 def test_pipeline_stages_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = documents(spark, sf)
