@@ -298,6 +298,13 @@ def test_contexts_are_counted_exactly_and_scored_in_parts(spark):
         assert (a.keys == b.keys).all() and (a.total == b.total).all()
 
 
+def test_mixer_learns_from_long_texts_too(spark):
+    long = " ".join(f"word{i % 700}" for i in range(8000))  # over 32 KiB
+    counted = lm_scoring.gather(spark.createDataFrame([(long,)], "text string"), 3)
+    _, weights, refine = lm_scoring.learn(counted)
+    assert (weights != lm_scoring._start()).any() and (refine != lm_scoring.refining(np.zeros((2, len(refine))))).any()
+
+
 def test_pipeline_stages_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = documents(spark, sf)
