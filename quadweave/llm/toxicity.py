@@ -131,31 +131,26 @@ def fit(texts: list[bytes], target: np.ndarray) -> Model:
     bias = float(np.log((share * n + 1) / ((1 - share) * n + 1)))
     if n == 0 or not 0 < share < 1:
         return Model(np.zeros(0, _U), np.zeros(0), bias)
-    # first by buckets of features, so that no more is held than what may matter
-    spots = np.zeros((2, 1 << _BUCKETS), np.int32)
+    # buckets of features bound their counts from above, so that no more is held than what may be frequent enough
+    spots = np.zeros(1 << _BUCKETS, np.int32)
+    for _, some in _slices(texts):
+        spots += np.bincount((_present(some)[1] >> _U(64 - _BUCKETS)).astype(np.int64), minlength=1 << _BUCKETS).astype(np.int32)
+    often = spots >= LEAST_TEXTS
+    del spots
+    names, df, toxic = np.zeros(0, _U), np.zeros(0), np.zeros(0)
     for lo, some in _slices(texts):
         o, h = _present(some)
-        spot = (h >> _U(64 - _BUCKETS)).astype(np.int64)
-        spots[0] += np.bincount(spot, minlength=1 << _BUCKETS).astype(np.int32)
-        spots[1] += np.bincount(spot, target[lo + o], minlength=1 << _BUCKETS).astype(np.int32)
-    promising = _strength(spots[0], spots[1], share) > 2
-    del spots
-    parts = [
-        (lo + o[mine], h[mine])
-        for lo, some in _slices(texts)
-        for o, h in [_present(some)]
-        for mine in [promising[(h >> _U(64 - _BUCKETS)).astype(np.int64)]]
-    ]
-    owner, feature = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    names, back, df = np.unique(feature, return_inverse=True, return_counts=True)
-    toxic = np.bincount(back, target[owner], minlength=len(names))
+        mine = often[(h >> _U(64 - _BUCKETS)).astype(np.int64)]
+        hits = target[lo + o[mine]]
+        names, back = np.unique(np.concatenate((names, h[mine])), return_inverse=True)
+        df = np.bincount(back, np.concatenate((df, np.ones(len(hits)))), minlength=len(names))
+        toxic = np.bincount(back, np.concatenate((toxic, hits)), minlength=len(names))
     strength = _strength(df, toxic, share)
     keep = np.sort(np.argsort(-strength, kind="stable")[: min(FEATURES, int((strength > 2).sum()))])
     features = names[keep]
-    number = np.full(len(names), -1)
-    number[keep] = np.arange(len(keep))
-    mine = number[back] >= 0
-    owner, feature = owner[mine], number[back][mine]
+    parts = [(lo + o, f) for lo, some in _slices(texts) for o, f in [_present(some, features)]] if len(features) else []
+    owner = np.concatenate([np.zeros(0, np.int64), *(o for o, _ in parts)])
+    feature = np.concatenate([np.zeros(0, np.int64), *(f for _, f in parts)])
     # rows of counterfactual differences: the substitute's features less the term's
     pairs = swaps(texts)
     rows, cols, signs = [], [], []

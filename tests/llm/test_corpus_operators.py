@@ -225,6 +225,14 @@ def test_counterfactuals_quiet_identity_terms():
     assert toxicity.scores([b"w1 vermin w2"], fair)[0] > 0.7 > toxicity.scores(neutral, fair).max()
 
 
+def test_rare_toxic_words_survive_shared_buckets(monkeypatch):
+    texts = [b"common words here %d" % (i % 7) + (b" vermin" if i < 20 else b"") for i in range(200)]
+    target = np.array([i < 100 for i in range(200)], float)
+    want = toxicity.fit(texts, target).features
+    monkeypatch.setattr(toxicity, "_BUCKETS", 1)  # all features share two buckets
+    assert len(want) and toxicity.fit(texts, target).features.tolist() == want.tolist()
+
+
 def test_lm_base_and_score(spark, odd):
     got = queries.QUERIES["op3_lm_scoring"](spark, SMALL).toPandas().set_index("doc_id")
     docs = {r.doc_id: r.text.encode().lower().split() for r in documents(spark, SMALL).collect()}
