@@ -43,16 +43,24 @@ def letters(text: str) -> bytes:
 def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
     """A dictionary's content per language, from rows with text and language.
 
-    Per language, at most SAMPLE_TEXTS whole texts of at most DICTIONARY_BYTES
-    are drawn in hash order of ``key`` (thinned out before the shuffle), and taken
-    while they fit.  Ties in hash order go to the smaller text.  Languages with
-    no such text are not learned, nor those beyond the MAX_LANGUAGES most frequent.
+    Per language, at most SAMPLE_TEXTS distinct whole texts of 32 to
+    DICTIONARY_BYTES bytes are drawn in hash order of ``key`` (thinned out before
+    the shuffle), and taken while they fit.  Where a language has none, texts of
+    fewer bytes and the beginnings of longer ones are drawn instead.  The languages
+    beyond the MAX_LANGUAGES most frequent are not learned.
     """
-    text = F.col(text_col).cast("string")
+    text, size = F.col(text_col).cast("string"), F.octet_length("text")
     rows = training.select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(key)).alias("h")).where(
-        "text is not null and lang is not null and octet_length(text) between 32 and " + str(DICTIONARY_BYTES)
+        "lang is not null and octet_length(text) > 0"
     )
-    drawn = draw(rows, "lang", SAMPLE_TEXTS, ["text"], MAX_LANGUAGES).collect()
+    # any character is four bytes at most
+    rows = rows.select("lang", "h", size.between(32, DICTIONARY_BYTES).alias("fits"), F.when(size > DICTIONARY_BYTES, F.substring("text", 1, DICTIONARY_BYTES // 4 - 1)).otherwise(F.col("text")).alias("text"))
+    rows = rows.withColumn("same", F.xxhash64("text"))
+    # hashes only are sent to tell repeats
+    texts = rows.groupBy("lang", "fits", "same").agg(F.min("h").alias("h"))
+    best = texts.groupBy("lang").agg(F.max("fits").alias("fits"))
+    few = draw(texts.join(best, ["lang", "fits"]), "lang", SAMPLE_TEXTS, ["same"], MAX_LANGUAGES)
+    drawn = rows.join(F.broadcast(few), ["lang", "fits", "same", "h"]).groupBy("lang", "rank").agg(F.min("text").alias("text")).collect()
     out: dict[str, bytes] = {}
     for row in sorted(drawn, key=lambda r: (r.lang, r.rank)):
         content = letters(row.text)

@@ -216,3 +216,12 @@ def test_language_accuracy_and_edges(spark, odd):
     assert language_id.learn(odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"))) == {}
     assert {r.lang_pred for r in language_id.predict(odd, {}).collect()} == {"und"}
     assert language_id.keep(odd, model).columns == odd.columns
+
+
+def test_dictionaries_of_long_short_and_repeated_texts(spark):
+    rows = [(i, f"one{i} " * 3000, "long") for i in range(3)] + [(9, "tiny", "short")]
+    rows += [(100 + i, "the same text again and again, in all of the copies", "copies") for i in range(300)]
+    rows += [(500 + i, f"another text of its own kind, {'abcdefgh'[i] * 9}", "copies") for i in range(8)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(model) == ["copies", "long", "short"] and all(len(v) <= language_id.DICTIONARY_BYTES for v in model.values())
+    assert model["copies"].count(b"the same text") == 1 and all(c.encode() * 9 in model["copies"] for c in "abcdefgh")
