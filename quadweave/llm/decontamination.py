@@ -1,14 +1,16 @@
 """Benchmark decontamination by template windows (DataFrame functions only).
 
-Texts are folded to words in which names, numbers and units stand behind typed
-markers.  Windows over the words with the marked values left out are joined by
-hash to the benchmark's, so a question with other names or numbers still meets
-its template.  Where a window has slots, the values on both sides must agree
-along one alignment: a benchmark value always stands for the same value.
-
-What this reading doesn't report is read once more: names are then slots wherever
-they stand, and beside the templates all windows over plain folded words count,
-whatever the case and the blanks, with no slot that could be in conflict.
+A text is read as words: runs of letters, or of digits.  Numbers, units behind
+numbers, and capitalised words are *slots*, which a template replaces by typed
+placeholders.  Every run of eight words is hashed twice: as folded words, and as a
+template.  Windows of documents are joined by hash to the benchmark's, so a
+question with other names or numbers meets its template, and a copy in another
+case, or of few literal words, meets its plain words.  Where a template matched,
+slots are checked along the alignment: a benchmark value always stands for the
+same value.  That is done twice over, as a capitalised word at a sentence's
+beginning may be a name (*wide*) or a word like others, which must then be equal
+(*narrow*).  A conflict takes away what that reading of the alignment matched, not
+what is equal word for word.
 """
 
 from __future__ import annotations
@@ -17,18 +19,19 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import written
 
-#: Words of a window, literal words that an indexed window has at least, share of an item's windows that marks a leak.
+#: Words of a window, literal words that a template window has at least, share of an item's windows that marks a leak.
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
-#: Benchmark windows up to which they are sent to all executors (about 40 bytes each); beyond it both sides are shuffled.
+#: Distinct benchmark hashes up to which they are sent to all executors (8 bytes each); beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 1_000_000
-#: Ids of documents up to which they are sent to all executors (8 bytes each).
+#: Rows of documents up to which they are sent to all executors (an id and a hash each).
 BROADCAST_IDS = 1_000_000
 
-#: Markers of names, numbers and units.
-NAME, NUMBER, UNIT = "\u0002", "\u0003", "\u0004"
+#: Markers of capitalised words at a sentence's beginning, of names inside, numbers and units; they stand before the word.
+FIRST, NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003", "\u0004"
 #: Words that count as numbers, and words that count as units behind a number (fixed lists).
 NUMBER_WORDS = (
     "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
@@ -40,34 +43,11 @@ UNIT_WORDS = (
     "second seconds minute minutes hour hours day days week weeks month months year years "
     "dollar dollars euro euros cent cents percent degree degrees mph kmh"
 ).split()
-#: Steps (pattern, replacement) from a text with a blank on either side to words behind markers;
-#: both the Java and the RE2 dialect read them alike.
-_NAME_STEP = (rf"([\p{{L}}\p{{N}},;){NAME}]\s)(\p{{Lu}}\p{{Ll}}+)", rf"$1{NAME}$2")
-STEPS_CASED = (_NAME_STEP, (rf"({NAME}\p{{Lu}}\p{{Ll}}+\s)(\p{{Lu}}\p{{Ll}}+)", rf"$1{NAME}$2"), (r"([0-9]+)", rf" {NUMBER}$1 "))
-STEPS_FOLDED = (
-    (rf"[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}]+", " "),
-    (rf" ({'|'.join(NUMBER_WORDS)}) ", rf" {NUMBER}$1 "),
-    (rf"({NUMBER}[\p{{L}}\p{{N}}]+) ({'|'.join(UNIT_WORDS)}) ", rf"$1 {UNIT}$2 "),
-)
-#: The steps before lower case of the second reading: a capitalised word is a name wherever it stands (Java dialect).
-STEPS_PLACED = ((r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}+)", rf"{NAME}$1"), STEPS_CASED[-1])
-STEP_TEMPLATE = (rf"([{NAME}{NUMBER}{UNIT}])[\p{{L}}\p{{N}}]*", "$1")
-
-
-def valued(text: Column, cased: tuple = STEPS_CASED) -> Column:
-    """The words of a text, single blanks between them, names, numbers and units behind their markers."""
-    out = F.concat(F.lit(" "), F.translate(text, NAME + NUMBER + UNIT, ""), F.lit(" "))
-    for pattern, to in cased:
-        out = F.regexp_replace(out, pattern, to)
-    out = F.lower(out)
-    for pattern, to in STEPS_FOLDED:
-        out = F.regexp_replace(out, pattern, to)
-    return F.trim(out)
-
-
-def template(values: Column) -> Column:
-    """``valued`` words with only the markers left of names, numbers and units."""
-    return F.regexp_replace(values, *STEP_TEMPLATE)
+#: A token: a number, or a word with the sentence's end before it (both the Java and the RE2 dialect read it alike).
+TOKEN = r"[0-9]+|(?:[.!?:][^\p{L}\p{M}0-9]*)?[\p{L}\p{M}]+"
+BEFORE_WORD = r"^[^\p{L}\p{M}]+"
+#: How a match was found: by plain words, by a template with names inside sentences only, with names anywhere.
+PLAIN, NARROW, WIDE = range(3)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -75,75 +55,199 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _windows(words: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` words; fewer words are one run, no word none."""
-    return _let(
-        F.split(words, " "),
-        lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, size))),
+def words(text: Column) -> Column:
+    """The folded words of a text as an array, slots behind their markers."""
+
+    def judged(tokens: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            before = F.get(tokens, i - 1)
+            counted = F.coalesce(((before >= "0") & (before < ":")) | F.lower(before).isin(NUMBER_WORDS), F.lit(False))
+
+            def cased(core: Column) -> Column:
+                w = F.lower(core)
+                capital = (F.substring(core, 1, 1) != F.substring(w, 1, 1)) & (F.substring(core, 2, 1) == F.substring(w, 2, 1)) & (F.length(core) > 1)
+                return (
+                    F.when(w.isin(NUMBER_WORDS), F.concat(F.lit(NUMBER), w))
+                    .when(capital, F.concat(F.when((i == 0) | (t < "A"), FIRST).otherwise(NAME), w))
+                    .when(w.isin(UNIT_WORDS) & counted, F.concat(F.lit(UNIT), w))
+                    .otherwise(w)
+                )
+
+            # most words are plain ones in lower case: they pass by three comparisons
+            plain = (t >= "a") & (t == F.lower(t)) & ~t.isin(NUMBER_WORDS + UNIT_WORDS)
+            number = (t >= "0") & (t < ":")
+            return F.when(plain, t).when(number, F.concat(F.lit(NUMBER), t)).otherwise(_let(F.when(t < "A", F.regexp_replace(t, BEFORE_WORD, "")).otherwise(t), cased))
+
+        return F.transform(tokens, one)
+
+    return _let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), judged)
+
+
+def _bare(x: Column) -> Column:
+    """A word without its marker."""
+    return F.when(x >= " ", x).otherwise(F.substring(x, 2, 1 << 30))
+
+
+def _is_first(x: Column) -> Column:
+    return x < NAME
+
+
+def valued(text: Column) -> Column:
+    """The words of a text, single blanks between them, names inside sentences, numbers and units behind their markers."""
+    return F.array_join(F.transform(words(text), lambda x: F.when(_is_first(x), _bare(x)).otherwise(x)), " ")
+
+
+def _hashes(some: Column) -> Column:
+    """Per word its hashes: plain, and by the template."""
+
+    def one(x: Column) -> Column:
+        marker = F.when(x < NUMBER, F.xxhash64(F.lit(NAME))).when(x < UNIT, F.xxhash64(F.lit(NUMBER))).otherwise(F.xxhash64(F.lit(UNIT)))
+        literal = F.struct(F.xxhash64(x).alias("p"), F.xxhash64(x).alias("t"))
+        return F.when(x >= " ", literal).otherwise(F.struct(F.xxhash64(_bare(x)).alias("p"), marker.alias("t")))
+
+    return F.transform(some, one)
+
+
+def _joined(a: Column, b: Column, k: int) -> Column:
+    """Hashes of the runs in ``a`` with those in ``b`` that begin ``k`` words later."""
+    n = F.greatest(F.size(b) - k, F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, k + 1, n), lambda x, y: F.struct(*[F.xxhash64(x[c], y[c]).alias(c) for c in "pt"]))
+
+
+def _runs(hashes: Column, size: int) -> Column:
+    """Hashes of all runs of ``size`` words: halves are hashed first, so that a run costs few steps."""
+    if size == 1:
+        return hashes
+    k = 1 << (size - 1).bit_length() - 1
+    if 2 * k == size:
+        return _let(_runs(hashes, k), lambda half: _joined(half, half, k))
+    return _joined(_runs(hashes, k), _runs(hashes, size - k), k)
+
+
+def _windows(some: Column, size: int) -> Column:
+    """Hashes of all runs of ``size`` words."""
+    return _let(_hashes(some), lambda h: _runs(h, size))
+
+
+def _distinct(x: Column) -> Column:
+    """A run's hashes, each once."""
+    return F.when(x["t"] == x["p"], F.array(x["p"])).otherwise(F.array(x["p"], x["t"]))
+
+
+def _index(items: DataFrame, window: int, literals: int) -> DataFrame:
+    """``item, at, h`` of every window of the items (``item, words``); ``plain``, or which templates it may match by.
+
+    An item shorter than a window is one window of its own length.
+    """
+    sized = items.withColumn("size", F.size("words"))
+    parts = [
+        sized.where(F.col("size") >= n if n == window else F.col("size") == n).select("item", "words", F.posexplode(_windows(F.col("words"), n)).alias("at", "x"))
+        for n in range(1, window + 1)
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    piece = F.slice("words", F.col("at") + 1, window)
+    slots = F.size(F.filter(piece, lambda x: x < " "))
+    firsts = F.size(F.filter(piece, _is_first))
+    narrow, wide = (slots > firsts) & (F.size(piece) - slots + firsts >= literals), (slots > 0) & (F.size(piece) - slots >= literals)
+    both = every.select("item", "at", "x", narrow.alias("narrow"), wide.alias("wide"))
+    no = F.lit(False)
+    entries = [
+        F.struct(F.col("x.p").alias("h"), no.alias("narrow"), no.alias("wide"), F.lit(True).alias("plain")),
+        F.struct(F.col("x.t").alias("h"), F.col("narrow"), F.col("wide"), no.alias("plain")),
+    ]
+    return both.select("item", "at", F.explode(F.array(*entries)).alias("e")).select("item", "at", "e.*").where("plain or narrow or wide").distinct()
+
+
+def _document_hashes(own: DataFrame, short: list[int], window: int, literals: int) -> DataFrame:
+    """``key, pos, h`` of every window of the documents (``key, words``).
+
+    Beside windows of ``window`` words there are those as long as the shorter items
+    (``short``); of fewer than ``literals`` words only where the document has no other.
+    A template of a shorter window counts only where it is the whole document, too.
+    """
+
+    def every(h: Column) -> Column:
+        runs = [F.transform(_runs(h, window), _distinct)]
+        for n in short:
+            whole = F.when(F.size(h) == n, F.transform(_runs(h, n), _distinct))
+            runs.append(whole.otherwise(F.transform(_runs(h, n), lambda x: F.array(x["p"])) if n >= literals else F.array().cast("array<array<bigint>>")))
+        return F.array(*runs)
+
+    if not short:
+        lists = own.select("key", F.posexplode(_windows(F.col("words"), window)).alias("pos", "x"))
+        return lists.select("key", "pos", F.explode(_distinct(F.col("x"))).alias("h"))
+    sizes = own.select("key", F.explode(_let(_hashes(F.col("words")), every)).alias("runs"))
+    return sizes.select("key", F.posexplode("runs").alias("pos", "hs")).select("key", "pos", F.explode("hs").alias("h"))
+
+
+def _by_templates(found: DataFrame, own: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """``key, item, at, shift, kind, z`` (pairs of words) of template matches; a word at a sentence's beginning is a name in wide ones only."""
+    keys = found.select("key").distinct()
+    if keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        keys = F.broadcast(keys)
+    ours = own.join(keys, "key", "left_semi").select("key", F.col("words").alias("got")).dropDuplicates(["key"])
+    z = F.arrays_zip(F.slice("got", F.col("pos") + 1, window).alias("got"), F.slice("words", F.col("at") + 1, window).alias("own"))
+    firm = F.forall("z", lambda z: ~(_is_first(z["got"]) | _is_first(z["own"])) | (_bare(z["got"]) == _bare(z["own"])))
+    kinds = F.array_compact(F.array(F.when(F.col("narrow") & firm, NARROW), F.when(F.col("wide"), WIDE)))
+    return (
+        found.join(ours, "key")
+        .join(items, "item")
+        .select("key", "item", "at", (F.col("pos") - F.col("at")).alias("shift"), "narrow", "wide", z.alias("z"))
+        .select("key", "item", "at", "shift", F.explode(kinds).alias("kind"), "z")
     )
 
 
-def _conflicts(slotted: DataFrame, own: DataFrame, theirs: DataFrame, window: int) -> DataFrame:
-    """The alignments (``id``, ``item``, ``shift``) along which a benchmark value stands for two values."""
-    ids = slotted.select("id").distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    ours = own.join(ids, "id", "left_semi").select("id", F.split("values", " ").alias("words"))
+def _conflicts(matched: DataFrame) -> DataFrame:
+    """The alignments (``key, item, shift, kind``) along which a benchmark value stands for two values."""
+    slots = F.filter("z", lambda z: (z["own"] < " ") & ((F.col("kind") == WIDE) | ~_is_first(z["own"])))
     return (
-        slotted.join(ours, "id")
-        .join(theirs, ["item", "at"])
-        .select("id", "item", (F.col("pos") - F.col("at")).alias("shift"), F.arrays_zip(F.slice("words", F.col("pos") + 1, window).alias("got"), "expected").alias("z"))
-        .select("id", "item", "shift", F.explode("z").alias("z"))
-        .where(F.substring("z.expected", 1, 1).isin(NAME, NUMBER, UNIT))
-        .groupBy("id", "item", "shift", F.col("z.expected").alias("expected"))
-        .agg(F.min("z.got").alias("lo"), F.max("z.got").alias("hi"))
+        matched.select("key", "item", "shift", "kind", F.explode(slots).alias("z"))
+        .groupBy("key", "item", "shift", "kind", _bare(F.col("z.own")).alias("own"))
+        .agg(F.min(_bare(F.col("z.got"))).alias("lo"), F.max(_bare(F.col("z.got"))).alias("hi"))
         .where("lo <> hi")
-        .select("id", "item", "shift")
+        .select("key", "item", "shift", "kind")
         .distinct()
         .withColumn("bad", F.lit(True))
     )
 
 
-def _read_again(own: DataFrame, bench: DataFrame, window: int, literals: int, broadcast_windows: int) -> DataFrame:
-    """``id``, ``item``, ``matched``, ``windows``, ``conflicts`` by templates with names at any place and by plain words.
+def _read(table: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """``key`` (id and hash of the text, so that rows of one id are told apart) and ``words`` of each row."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return table.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text")).alias(key), words(text).alias("words"))
 
-    Both sides are ``valued`` by STEPS_PLACED.  All windows of an item count, and
-    a conflict takes away only what its alignment's templates matched.  An item
-    shorter than a window is one window of its own length; of fewer than
-    ``literals`` words it isn't looked for here.
-    """
-    plain = F.translate("values", NAME + NUMBER + UNIT, "")
-    items = (
-        bench.where("values <> ''")
-        .dropDuplicates(["item", "values"])
-        .select("item", F.split("values", " ").alias("values"), F.split(template(F.col("values")), " ").alias("list"), F.split(plain, " ").alias("words"))
-        .where(F.size("list") >= min(literals, window))
-        .select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("list") - window, F.lit(0)))).alias("at"))
-        .select("item", "at", *[F.slice(c, F.col("at") + 1, window).alias(c) for c in ("values", "list", "words")])
-        .withColumn("literal", F.size(F.filter("list", lambda w: ~w.isin(NAME, NUMBER, UNIT))))
-    )
-    totals = items.groupBy("item").agg(F.countDistinct("at").cast("long").alias("windows"))
-    words = items.select("item", "at", F.xxhash64("words").alias("h"), F.lit(False).alias("slotted"))
-    slots = items.where((F.col("literal") >= literals) & (F.col("literal") < F.size("list"))).select("item", "at", F.xxhash64("list").alias("h"), F.lit(True).alias("slotted"))
-    index = words.unionByName(slots).distinct()
-    if index.limit(broadcast_windows + 1).count() <= broadcast_windows:
-        index = F.broadcast(index)
-    sizes = sorted(r.n for r in items.select(F.size("list").alias("n")).distinct().collect())  # at most window numbers
-    runs = [_windows(template(F.col("values")), window), *[_windows(plain, n) for n in sizes]]
-    found = written(
-        own.select("id", F.explode(F.array(*runs)).alias("runs")).select("id", F.posexplode("runs").alias("pos", "h")).join(index, "h").select("id", "item", "at", "pos", "slotted").distinct(),
-        "word-windows",
-    )
-    theirs = items.select("item", "at", F.col("values").alias("expected"))
-    pairs = _conflicts(found.where("slotted").drop("slotted"), own, theirs, window)
-    judged = found.withColumn("shift", F.col("pos") - F.col("at")).join(pairs, ["id", "item", "shift"], "left")
+
+def _pairs(
+    docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, literals: int, coverage: float, broadcast_windows: int
+) -> DataFrame:
+    """What ``leaks`` returns, by ``key`` and ``item`` as ``_read`` makes them."""
+    items = written(_read(benchmark, item_col, item_text_col, "item").where(F.size("words") > 0).dropDuplicates(["item"]), "benchmark-words")
+    index = written(_index(items, window, literals), "benchmark-windows")
+    totals = index.groupBy("item").agg(F.countDistinct("at").cast("long").alias("windows"))
+    short = sorted(r.n for r in items.select(F.size("words").alias("n")).where(F.col("n") < window).distinct().collect())  # fewer than window numbers
+    hashes = index.select("h").distinct()
+    if hashes.limit(broadcast_windows + 1).count() <= broadcast_windows:
+        hashes = F.broadcast(hashes)
+    own = _read(docs, id_col, text_col, "key")
+    met = written(_document_hashes(own, short, window, literals).join(hashes, "h"), "template-windows")
+    # an item's rarest windows, so many that no document can hold the share asked for without one of them
+    shared = index.join(index.groupBy("h").agg(F.countDistinct("item").alias("items")), "h").groupBy("item", "at").agg(F.max("items").alias("items"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("items", "at"))
+    rare = shared.withColumn("rank", rank).join(totals, "item").where(F.col("rank") <= F.col("windows") - F.greatest(F.ceil(F.col("windows") * coverage), F.lit(1)) + 1)
+    probes = index.join(rare.select("item", "at"), ["item", "at"]).select("item", "h").distinct()
+    likely = met.join(probes, "h").select("key", "item").distinct()
+    found = written(met.join(likely, "key").join(index, ["item", "h"]).drop("h").distinct(), "window-matches")
+    by_templates = written(_by_templates(found.where("narrow or wide"), own, items, window), "template-matches")
+    found = found.where("plain").select("key", "item", "at", (F.col("pos") - F.col("at")).alias("shift"), F.lit(PLAIN).alias("kind")).unionByName(by_templates.drop("z"))
     return (
-        judged.groupBy("id", "item")
-        .agg(
-            F.countDistinct(F.when(F.col("bad").isNull() | ~F.col("slotted"), F.col("at"))).alias("matched"),
-            F.countDistinct(F.when(F.col("bad"), F.col("shift"))).alias("conflicts"),
-        )
-        .join(F.broadcast(totals) if broadcast_windows else totals, "item")
+        found.join(_conflicts(by_templates), ["key", "item", "shift", "kind"], "left")
+        .groupBy("key", "item")
+        .agg(F.countDistinct(F.when(F.col("bad").isNull(), F.col("at"))).alias("matched"), F.countDistinct(F.when(F.col("bad"), F.col("shift"))).alias("conflicts"))
+        .join(totals, "item")
+        .withColumn("coverage", F.col("matched") / F.col("windows"))
+        .where(F.col("coverage") >= coverage)
     )
 
 
@@ -161,70 +265,41 @@ def leaks(
 ) -> DataFrame:
     """One row per document and benchmark item that it contains.
 
-    Columns: id, item, ``matched`` (distinct windows of the item found along
-    alignments without slot conflict), ``windows`` (of the item), ``conflicts``
-    (alignments dropped because a slot value stood for two values) and
-    ``coverage`` = matched / windows, at least the given share.  Template windows
-    with fewer than ``literals`` literal words aren't indexed, unless the item is
-    shorter than a window; such an item is found only where it is the whole
-    document.  Pairs that this doesn't report are judged by the second reading,
-    whose ``windows`` are all of the item's; it finds items of ``literals`` words
-    or more inside a document, too.  Null and empty texts contain nothing; rows that repeat an id count
-    once; empty tables give an empty result; other columns are ignored.
+    Columns: id, item, ``matched`` (distinct windows of the item found, by plain
+    words or along alignments without slot conflict), ``windows`` (of the item),
+    ``conflicts`` (alignments of which templates were dropped because a slot value
+    stood for two values) and ``coverage`` = matched / windows, at least the given
+    share.  Every window of an item counts; those with fewer than ``literals``
+    literal words are found by their plain words only.  An item shorter than a
+    window is one window of its own length, found inside documents by its plain
+    words, and by its template where it is the whole document; of fewer than
+    ``literals`` words it is found only as a whole document.  Null and empty
+    texts contain nothing; texts that share an id are read one by one, and the best
+    counts; null ids are kept; empty tables give an empty result; other columns are
+    ignored.
     """
-    text = F.coalesce(F.col(item_text_col).cast("string"), F.lit(""))
-    items = (
-        benchmark.select(F.col(item_col).alias("item"), valued(text).alias("values"))
-        .where("values <> ''")
-        .dropDuplicates(["item", "values"])
-        .withColumn("words", template("values"))
-        .withColumn("list", F.split("words", " "))
-        .select("item", F.split("values", " ").alias("values"), "list", F.posexplode(_windows(F.col("words"), window)).alias("at", "h"))
-        .withColumn("piece", F.slice("list", F.col("at") + 1, window))
-        .withColumn("plain", F.size(F.filter("piece", lambda w: ~w.isin(NAME, NUMBER, UNIT))))
-        .where((F.col("plain") >= literals) | (F.size("list") < window))
-        .select("item", "at", "h", F.slice("values", F.col("at") + 1, window).alias("values"), (F.col("plain") < F.size("piece")).alias("slotted"))
-    )
-    totals = items.groupBy("item").agg(F.countDistinct("at").cast("long").alias("windows"))
-    index = items.select("item", "at", "h", "slotted")
-    if items.limit(broadcast_windows + 1).count() <= broadcast_windows:
-        index = F.broadcast(index)
-    own = docs.select(F.col(id_col).alias("id"), valued(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("values"))
-    found = written(
-        own.select("id", F.posexplode(_windows(template(F.col("values")), window)).alias("pos", "h"))
-        .join(index, "h")
-        .select("id", "item", "at", "pos", "slotted"),
-        "template-windows",
-    )
-    theirs = items.select("item", "at", F.col("values").alias("expected"))
-    pairs = _conflicts(found.where("slotted").select("id", "item", "at", "pos").distinct(), own, theirs, window)
-    aligned = found.groupBy("id", "item", (F.col("pos") - F.col("at")).alias("shift"), "at").agg(F.count("*").alias("n")).drop("n")
-    judged = aligned.join(pairs, ["id", "item", "shift"], "left")
-    first = (
-        judged.groupBy("id", "item")
-        .agg(
-            F.countDistinct(F.when(F.col("bad").isNull(), F.col("at"))).alias("matched"),
-            F.countDistinct(F.when(F.col("bad"), F.col("shift"))).alias("conflicts"),
-        )
-        .join(F.broadcast(totals) if broadcast_windows else totals, "item")
-    )
-    placed = [
-        t.select(F.col(key).alias(name), valued(F.coalesce(F.col(column).cast("string"), F.lit("")), STEPS_PLACED).alias("values"))
-        for t, key, name, column in ((docs, id_col, "id", text_col), (benchmark, item_col, "item", item_text_col))
-    ]
-    second = _read_again(*placed, window, literals, broadcast_windows)
-    judged = first.withColumn("reading", F.lit(1)).unionByName(second.withColumn("reading", F.lit(2))).withColumn("coverage", F.col("matched") / F.col("windows"))
-    return (
-        judged.where(F.col("coverage") >= coverage)
-        .groupBy("id", "item")
-        .agg(F.min_by(F.struct("matched", "windows", "conflicts", "coverage"), "reading").alias("r"))
-        .select(F.col("id").alias(id_col), F.col("item").alias(item_col), "r.*")
-    )
+    found = _pairs(docs, benchmark, id_col, text_col, item_col, item_text_col, window, literals, coverage, broadcast_windows)
+    best = F.max_by(F.struct("matched", "windows", "conflicts", "coverage"), F.struct("coverage", "matched", -F.col("conflicts")))
+    return found.groupBy(F.col("key.id").alias(id_col), F.col("item.id").alias(item_col)).agg(best.alias("r")).select(id_col, item_col, "r.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that contain no benchmark item."""
-    found = written(leaks(docs, benchmark, id_col=id_col, **options).select(id_col).distinct(), "leaks")
+def clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    literals: int = LITERALS,
+    coverage: float = COVERAGE,
+    broadcast_windows: int = BROADCAST_WINDOWS,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that contain no benchmark item (see ``leaks``)."""
+    found = _pairs(docs, benchmark, id_col, text_col, item_col, item_text_col, window, literals, coverage, broadcast_windows)
+    found = written(found.select(F.col("key").alias("key of row")).distinct(), "leaks")
     if found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         found = F.broadcast(found)
-    return docs.join(found, id_col, "left_anti").select(docs.columns)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text"))
+    return docs.withColumn("key of row", key).join(found, "key of row", "left_anti").select(docs.columns)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -104,45 +103,58 @@ def _shipped(query: Callable) -> Callable:
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (op1_fingerprints, op2_toxicity, op3_lm_scoring, op4_sharding, op5_near_dedup, op6_bpe_codec, op7_quality, op8_decontamination, op9_language_id, op10_token_counts)}
-def _valued_sql(text: str) -> str:
-    """DuckDB's form of ``decontamination.valued``."""
-    d = decontamination
-    out = f"' ' || translate(coalesce({text}, ''), chr(2) || chr(3) || chr(4), '') || ' '"
 
-    def steps(out: str, many: tuple) -> str:
-        for pattern, to in many:
-            to = re.sub(r"\$(\d)", r"\\\1", to)
-            out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
-        return out
 
-    return f"trim({steps(f'lower({steps(out, d.STEPS_CASED)})', d.STEPS_FOLDED)})"
+def _words_sql(text: str) -> str:
+    """DuckDB's form of ``decontamination.words``."""
+    d = decontamination
+    numbers, units = (", ".join(f"'{w}'" for w in some) for some in (d.NUMBER_WORDS, d.UNIT_WORDS))
+    tokens = f"regexp_extract_all(coalesce({text}, ''), '{d.TOKEN}')"
+    cores = f"list_transform({tokens}, lambda t: {{'t': t, 'core': CASE WHEN t < 'A' AND NOT (t >= '0' AND t < ':') THEN regexp_replace(t, '{d.BEFORE_WORD}', '') ELSE t END}})"
+    w = "lower(x.core)"
+    capital = f"substr(x.core, 1, 1) <> substr({w}, 1, 1) AND substr(x.core, 2, 1) = substr({w}, 2, 1) AND length(x.core) > 1"
+    counted = f"i > 1 AND (({tokens}[i - 1] >= '0' AND {tokens}[i - 1] < ':') OR lower({tokens}[i - 1]) IN ({numbers}))"
+    return f"""list_transform({cores}, lambda x, i: CASE
+    WHEN {w} IN ({numbers}) OR (x.t >= '0' AND x.t < ':') THEN '{d.NUMBER}'
+    WHEN {capital} THEN CASE WHEN i = 1 OR x.t < 'A' THEN '{d.FIRST}' ELSE '{d.NAME}' END
+    WHEN {w} IN ({units}) AND {counted} THEN '{d.UNIT}' ELSE '' END || {w})"""
 
 
 def _decontamination_sql() -> str:
+    """Every window of every document against every window of every item, without an index."""
     d = decontamination
-    pattern, to = d.STEP_TEMPLATE
-    template = f"regexp_replace(v, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
-    runs = f"unnest(range(1, greatest(len(w) - {d.WINDOW} + 1, 1) + 1))"
-    marked = f"('{d.NAME}', '{d.NUMBER}', '{d.UNIT}')"
+
+    def bare(x: str) -> str:
+        return f"CASE WHEN {x} >= ' ' THEN {x} ELSE substr({x}, 2) END"
+
+    def run(some: str, template: bool) -> str:
+        marked = f"CASE WHEN x >= ' ' THEN x WHEN x < '{d.NUMBER}' THEN '{d.NAME}' WHEN x < '{d.UNIT}' THEN '{d.NUMBER}' ELSE '{d.UNIT}' END"
+        return f"array_to_string(list_transform({some}, lambda x: {marked if template else bare('x')}), ' ')"
+
+    slots, firsts = "len(list_filter(vs, lambda x: x < ' '))", f"len(list_filter(vs, lambda x: x < '{d.NAME}'))"
+    loose = f"(x[1] < '{d.NAME}' OR x[2] < '{d.NAME}') AND ({bare('x[1]')}) <> ({bare('x[2]')})"
     return f"""
-WITH iv AS (SELECT DISTINCT item_id AS item, {_valued_sql("text")} AS v FROM benchmark),
-dv AS (SELECT DISTINCT doc_id AS id, {_valued_sql("text")} AS v FROM documents),
-iw AS (SELECT item, string_split(v, ' ') AS vs, string_split({template}, ' ') AS w FROM iv WHERE v <> ''),
-dw AS (SELECT id, string_split(v, ' ') AS vs, string_split({template}, ' ') AS w FROM dv WHERE v <> ''),
-ip AS (SELECT item, vs, w, {runs} AS ipos FROM iw),
-iq AS (SELECT item, ipos, list_slice(vs, ipos, ipos + {d.WINDOW} - 1) AS expected, list_slice(w, ipos, ipos + {d.WINDOW} - 1) AS piece, len(w) AS n FROM ip),
-items AS (
-  SELECT item, ipos, expected, array_to_string(piece, ' ') AS h FROM iq
-  WHERE len(list_filter(piece, lambda x: x NOT IN {marked})) >= {d.LITERALS} OR n < {d.WINDOW}),
-totals AS (SELECT item, count(DISTINCT ipos) AS windows FROM items GROUP BY item),
-dp AS (SELECT id, vs, w, {runs} AS pos FROM dw),
-dq AS (SELECT id, pos, list_slice(vs, pos, pos + {d.WINDOW} - 1) AS got, array_to_string(list_slice(w, pos, pos + {d.WINDOW} - 1), ' ') AS h FROM dp),
-found AS (SELECT id, item, ipos, pos - ipos AS shift, got, expected FROM dq JOIN items USING (h)),
-slots AS (SELECT id, item, shift, unnest(got) AS g, unnest(expected) AS e FROM found),
-bad AS (
-  SELECT DISTINCT id, item, shift FROM (
-    SELECT id, item, shift, e FROM slots WHERE substr(e, 1, 1) IN {marked} GROUP BY ALL HAVING count(DISTINCT g) > 1)),
-judged AS (SELECT f.id, f.item, f.ipos, f.shift, b.id IS NOT NULL AS bad FROM found f LEFT JOIN bad b USING (id, item, shift))
+WITH iw AS MATERIALIZED (SELECT DISTINCT item_id AS item, {_words_sql("text")} AS ws FROM benchmark),
+dw AS MATERIALIZED (SELECT DISTINCT doc_id AS id, {_words_sql("text")} AS ws FROM documents),
+iq AS (SELECT item, ipos, list_slice(ws, ipos + 1, ipos + n) AS vs
+  FROM (SELECT item, ws, least(len(ws), {d.WINDOW}) AS n, unnest(range(0, len(ws) - least(len(ws), {d.WINDOW}) + 1)) AS ipos FROM iw WHERE len(ws) > 0)),
+totals AS (SELECT item, count(DISTINCT ipos) AS windows FROM iq GROUP BY item),
+index AS (SELECT item, ipos, vs, {run("vs", False)} AS plain, {run("vs", True)} AS template, {slots} > {firsts} AND len(vs) - {slots} + {firsts} >= {d.LITERALS} AS narrow, {slots} > 0 AND len(vs) - {slots} >= {d.LITERALS} AS wide FROM iq),
+sizes AS (SELECT DISTINCT len(vs) AS n FROM iq),
+dq AS (SELECT id, pos, list_slice(ws, pos + 1, pos + n) AS got, n = {d.WINDOW} OR n = len(ws) AS templates
+  FROM (SELECT id, ws, n, unnest(range(0, len(ws) - n + 1)) AS pos FROM dw, sizes WHERE n >= {d.LITERALS} OR n = len(ws))),
+every AS (SELECT *, {run("got", False)} AS plain, CASE WHEN templates THEN {run("got", True)} END AS template FROM dq),
+by_templates AS (SELECT id, item, ipos, pos - ipos AS shift, narrow, wide, list_zip(got, vs) AS z FROM every JOIN index USING (template) WHERE narrow OR wide),
+kinds AS (
+  SELECT id, item, ipos, shift, {d.NARROW} AS kind, z FROM by_templates WHERE narrow AND len(list_filter(z, lambda x: {loose})) = 0
+  UNION ALL SELECT id, item, ipos, shift, {d.WIDE}, z FROM by_templates WHERE wide),
+slots AS (SELECT id, item, kind, shift, unnest(z) AS z FROM kinds),
+bad AS (SELECT DISTINCT id, item, kind, shift FROM (
+  SELECT id, item, kind, shift, ({bare("z[2]")}) AS own FROM slots WHERE z[2] < ' ' AND (kind = {d.WIDE} OR z[2] >= '{d.NAME}')
+  GROUP BY ALL HAVING count(DISTINCT {bare("z[1]")}) > 1)),
+judged AS (
+  SELECT id, item, ipos, pos - ipos AS shift, false AS bad FROM every JOIN index USING (plain)
+  UNION ALL SELECT k.id, k.item, k.ipos, k.shift, b.id IS NOT NULL FROM kinds k LEFT JOIN bad b USING (id, item, kind, shift))
 SELECT id AS doc_id, j.item AS item_id, count(DISTINCT CASE WHEN NOT bad THEN ipos END) AS matched, any_value(t.windows) AS windows,
        count(DISTINCT CASE WHEN bad THEN shift END) AS conflicts,
        count(DISTINCT CASE WHEN NOT bad THEN ipos END)::double / any_value(t.windows) AS coverage
