@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..tables import written
+
 
 def first_report(reports: DataFrame, task: str, arrival: Sequence[Column]) -> DataFrame:
     """The first report of each task; later ones are repeats."""
@@ -32,25 +34,32 @@ def compare_and_set(versions: DataFrame, requests: DataFrame, order: Sequence[st
     return new, outcome
 
 
-def commit_all(versions: DataFrame, requests: DataFrame, order: Sequence[str], rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+def commit_all(versions: DataFrame, requests: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rounds of ``compare_and_set`` until every task has committed; losers read anew.
 
-    Returns the versions and ``task, attempts``.  The first task in the order
-    always commits, so the rounds end.
+    Returns the versions and ``task, attempts``.  The rounds aren't run one by one.
+    A task commits in the first round in which it is the foremost on all its keys, and
+    not in the first one if it read an old version.  So a key's tasks commit in rounds
+    that rise along its order, and a task's round is the highest that any of its keys
+    asks for.  Each pass carries rounds along whole keys, however many tasks want
+    them; passes end when no task has to wait longer, after as many as a chain of
+    conflicts changes keys.
     """
-    left = requests
-    done = None
-    for attempt in range(1, rounds + 1):
-        versions, outcome = compare_and_set(versions, left, order)
-        won = outcome.where("committed").select("task", F.lit(attempt).alias("attempts"))
-        done = won if done is None else done.unionByName(won)
-        lost = outcome.where("not committed").select("task")
-        if lost.isEmpty():
-            return versions, done
-        left = left.join(lost, "task", "left_semi").drop("expected").join(versions, "key", "left").withColumn(
-            "expected", F.coalesce("version", F.lit(0))
-        ).drop("version")
-    raise RuntimeError(f"tasks without a commit after {rounds} rounds")
+    current = requests.join(versions, "key", "left").withColumn("stale", F.coalesce("version", F.lit(0)) != F.col("expected"))
+    wanted = current.groupBy("task", "key", *[c for c in order if c != "task"]).agg(F.max("stale").alias("stale"))
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(*order, *([] if "task" in order else ["task"])))
+    wanted = written(wanted.withColumn("turn", turn), "commit-requests")
+    rounds = written(wanted.groupBy("task").agg((F.lit(1) + F.max(F.col("stale").cast("int"))).cast("long").alias("attempts")), "commit-rounds")
+    along = Window.partitionBy("key").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    while True:
+        asked = wanted.join(rounds, "task").withColumn("least", F.col("turn") + F.max(F.col("attempts") - F.col("turn")).over(along))
+        later = written(asked.groupBy("task").agg(F.max("least").cast("long").alias("attempts"), F.max(F.col("least") > F.col("attempts")).alias("moved")), "commit-rounds")
+        rounds = later.select("task", "attempts")
+        if later.where("moved").isEmpty():
+            break
+    bumps = wanted.groupBy("key").agg(F.count("*").alias("bumps"))
+    final = versions.join(bumps, "key", "full_outer").select("key", (F.coalesce("version", F.lit(0)) + F.coalesce("bumps", F.lit(0))).alias("version"))
+    return final, rounds
 
 
 def commit_in_order(requests: DataFrame) -> DataFrame:

@@ -61,6 +61,18 @@ def summarise(runs: DataFrame, by: Sequence[str], measures: Sequence[str], stead
     return runs.groupBy(*by).agg(F.count("*").alias("runs"), *[c for m in measures for c in mean_sd(m)])
 
 
+def unequal_sums(a: DataFrame, b: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """Groups whose sums of a column differ between two tables, or that only one has: an empty result is the invariant."""
+    left = a.groupBy(*by).agg(F.sum(column).alias("sum_a"))
+    right = b.groupBy(*by).agg(F.sum(column).alias("sum_b"))
+    return left.join(right, list(by), "full_outer").where(~F.col("sum_a").eqNullSafe(F.col("sum_b")))
+
+
+def shown(column: str, digits: int = 3) -> Column:
+    """A number as text with so many digits behind the point, as reports print it; empty for null."""
+    return F.when(F.col(column).isNull(), "").otherwise(F.format_string(f"%.{digits}f", F.col(column).cast("double")))
+
+
 def one_value(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
     """Groups in which a column that must be constant isn't: an empty result is the invariant."""
     return df.groupBy(*by).agg(F.countDistinct(column).alias("distinct_values")).where("distinct_values <> 1")

@@ -10,11 +10,14 @@ from pyspark.sql.window import Window
 
 from . import fixtures as fx
 from .functions import scalars, terms
+from .mapping import turtle
 from .mapping.compile import compile_mapping
 from .mapping.ir import Mapping
-from .mapping.rewrite import contained_in, dangling, eliminate_joins
+from .mapping.rewrite import contained_in, dangling, eliminate_joins, join_report
 from .operators import changes, commit, diff, graph, metrics, partition
-from .sources import logs, nquads
+from .plans import refresh
+from .sources import logs, nquads, snapshots
+from .tables import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -166,12 +169,14 @@ def dangling_references(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(f"""WITH j AS ({fx.quads_sql(["documents"])}), t AS (SELECT DISTINCT 1 FROM j)
-SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra""")
+_ELIMINATED = ["documents", "stops", "shapes", "shape_points"]
+
+
+@query(f"SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, count(*) AS quads, count(DISTINCT s) AS subjects FROM ({fx.quads_sql(_ELIMINATED)})")
 def join_elimination_is_exact(spark: SparkSession, d: str) -> DataFrame:
-    """Graph with joins against graph without: no quad differs."""
-    labels = ["documents", "stops", "shapes", "shape_points"]
-    return graph.difference(_graph(spark, d, labels), _graph(spark, d, labels, rewrite=True, check=True))
+    """Graph with joins against graph without: no quad differs, and there are as many as the oracle makes."""
+    plain, rewritten = _graph(spark, d, _ELIMINATED), _graph(spark, d, _ELIMINATED, rewrite=True, check=True)
+    return graph.difference(plain, rewritten).crossJoin(rewritten.agg(F.count("*").alias("quads"), F.countDistinct("s").alias("subjects")))  # one row each
 
 
 # scalars
@@ -377,6 +382,43 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
     return diff.duplicate_keys(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
 
 
+@query("SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS lost FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)")
+def duplicate_totals(spark: SparkSession, d: str) -> DataFrame:
+    """How many keys repeat, in how many rows, and how many of these lose."""
+    return diff.duplicate_totals(spark.read.parquet(f"{d}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
+
+
+_LINES_SQL = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem"
+_LAST_LINE = "QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_quantity DESC) = 1"
+
+
+@query(f"""WITH b AS ({_LINES_SQL} {_LAST_LINE}), a AS ({_LINES_SQL} WHERE l_suppkey % 5 <> 0 {_LAST_LINE})
+SELECT CASE WHEN b.l_orderkey IS NULL THEN 'inserted' WHEN a.l_orderkey IS NULL THEN 'deleted' ELSE 'updated' END AS change, coalesce(b.l_orderkey, a.l_orderkey) AS l_orderkey, coalesce(b.l_linenumber, a.l_linenumber) AS l_linenumber, b.l_suppkey AS old_supplier, a.l_suppkey AS new_supplier
+FROM b FULL OUTER JOIN a ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber
+WHERE b.l_orderkey IS NULL OR a.l_orderkey IS NULL OR (b.l_suppkey, b.l_quantity) IS DISTINCT FROM (a.l_suppkey, a.l_quantity)""")
+def diff_of_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Changes between tables whose keys repeat: the last row of each key counts."""
+    before = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    found = diff.diff(before, before.where("l_suppkey % 5 <> 0"), ["l_orderkey", "l_linenumber"], position=["l_partkey"])
+    return found.select(
+        "change", F.coalesce("old.l_orderkey", "new.l_orderkey").alias("l_orderkey"), F.coalesce("old.l_linenumber", "new.l_linenumber").alias("l_linenumber"),
+        F.col("old.l_suppkey").alias("old_supplier"), F.col("new.l_suppkey").alias("new_supplier"),
+    )
+
+
+@query(f"""WITH {_DIFF}, gone AS (SELECT count(*) AS n FROM customer WHERE c_custkey % 20 = 0),
+t AS (SELECT 'agency' AS table_name, 0 AS delta_rows, 0 AS stale_rows
+  UNION ALL SELECT 'routes', 0, n FROM gone
+  UNION ALL SELECT 'stop_times', count(*) FILTER (WHERE change <> 'deleted'), count(*) FILTER (WHERE change <> 'inserted') FROM d)
+SELECT table_name, CAST(delta_rows AS BIGINT) AS delta_rows, CAST(stale_rows AS BIGINT) AS stale_rows FROM t
+UNION ALL SELECT NULL, CAST(sum(delta_rows) AS BIGINT), CAST(sum(stale_rows) AS BIGINT) FROM t""")
+def run_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Rows to map and to forget of each table, and of all."""
+    before = fx.tables(spark, d, "stop_times", "routes", "agency")
+    after = {**before, "stop_times": _feed(spark, d)[1], "routes": before["routes"].where("cast(route_id as bigint) % 20 <> 0")}
+    return diff.totals(diff.diff_snapshots(before, after, {"stop_times": fx.KEYS, "routes": ["route_id"], "agency": ["agency_id"]}))
+
+
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
 def last_row_wins(spark: SparkSession, d: str) -> DataFrame:
     """The last row of each key."""
@@ -442,11 +484,22 @@ def overdeletion(spark: SparkSession, d: str) -> DataFrame:
     return graph.difference(_narrow(after), graph.apply_by_subject(_narrow(before), stale, added).distinct())
 
 
-@query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra")
+@query(f"WITH {_MARKED} SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, count(*) AS quads, count(DISTINCT s) AS subjects FROM ({_quads_of('aft')})")
 def closure_equals_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    """Refresh against rebuild: nothing differs."""
+    """Refresh against rebuild: nothing differs, and the graph is as large as the oracle's."""
     before, after, found, _, _ = _apply_inputs(spark, d)
-    return graph.difference(_narrow(after), graph.refresh(_narrow(before), _NARROW, {"stop_times": found}, {"stop_times": after}))
+    new = graph.refresh(_narrow(before), _NARROW, {"stop_times": found}, {"stop_times": after})
+    return graph.difference(_narrow(after), new).crossJoin(new.agg(F.count("*").alias("quads"), F.countDistinct("s").alias("subjects")))  # one row each
+
+
+@query(f"WITH {_MARKED} {_quads_of('aft')}")
+def distributed_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """A whole run with its checks: compare, deal out, split, refresh; the oracle is a rebuild."""
+    before, after, _ = _feed(spark, d)
+    new, record = refresh.distributed(_narrow(before), _NARROW, "stop_times", {"stop_times": before}, {"stop_times": after}, fx.KEYS, "trip_id", K, THRESHOLD, FACTOR)
+    if sum(record["task_rows"]) != record["delta_rows"]:
+        raise AssertionError(record)
+    return new
 
 
 @query(f"""WITH {_DIFF}, base AS ({_quads_of("st")}), stale AS (SELECT DISTINCT {_SUBJECT} AS s FROM (SELECT {', '.join(f'old_{c} AS {c}' for c in _COLUMNS)} FROM d WHERE change IN ('deleted', 'updated')) x),
@@ -455,9 +508,7 @@ SELECT count(*) FILTER (WHERE s NOT IN (SELECT s FROM stale)) AS kept, count(*)
 def apply_counts(spark: SparkSession, d: str) -> DataFrame:
     """Quads kept, removed and added."""
     before, _, _, stale, added = _apply_inputs(spark, d)
-    marked = _narrow(before).join(stale.withColumn("gone", F.lit(True)), "s", "left")
-    counts = marked.agg(F.count_if(F.col("gone").isNull()).alias("kept"), F.count_if(F.col("gone").isNotNull()).alias("removed"))
-    return counts.withColumn("_j", F.lit(1)).join(added.agg(F.count("*").alias("added")).withColumn("_j", F.lit(1)), "_j").drop("_j")
+    return graph.apply_counts(_narrow(before), stale, added)
 
 
 @query(fx.quads_sql(["trips", "routes"], {"routes": "SELECT * FROM (" + fx.SQL["routes"] + ") WHERE CAST(route_id AS BIGINT) % 20 <> 0"}))
@@ -562,6 +613,32 @@ def optimistic_round(spark: SparkSession, d: str) -> DataFrame:
     return commit.compare_and_set(versions, requests, ["task"])[1]
 
 
+@query("""SELECT event_id AS task, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) + CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS BIGINT) AS attempts,
+  CAST(count(*) OVER (PARTITION BY event_type) + CASE WHEN event_type = 'click' THEN 3 ELSE 0 END AS BIGINT) AS version FROM events""")
+def commit_hot_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Attempts of tasks that all want one of a few keys, one of which they read at an old version, and the keys' last versions."""
+    requests = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("task"), F.col("event_type").alias("key"), F.lit(0).alias("expected"))
+    final, done = commit.commit_all(spark.createDataFrame([("click", 3)], "key string, version int"), requests, ["task"])
+    return requests.join(done, "task").join(final, "key").select("task", "attempts", F.col("version").cast("long").alias("version"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, max(event_id) AS version FROM events GROUP BY 1")
+def version_store(spark: SparkSession, d: str) -> DataFrame:
+    """Versions written by two runs, of which the highest counts."""
+    path = new_path(spark, "versions")
+    v = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("version"))
+    commit.save_versions(v.where("version % 2 = 0"), path)
+    commit.save_versions(v.where("version % 2 = 1"), path, keep=True)
+    return commit.load_versions(spark, path)
+
+
+@query("SELECT coalesce(c_custkey, o_custkey) AS key, c_custkey IS NOT NULL AS in_a, o_custkey IS NOT NULL AS in_b FROM customer FULL OUTER JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 3 = 0) ON c_custkey = o_custkey")
+def key_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of two tables and where they are."""
+    a = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("key"))
+    return partition.key_sets(a, spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("key")), ["key"])
+
+
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
 def first_report_wins(spark: SparkSession, d: str) -> DataFrame:
     """The first report of each task."""
@@ -710,3 +787,85 @@ def first_log_value(spark: SparkSession, d: str) -> DataFrame:
         F.expr("event_id % 100").alias("run"), F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("value"), F.col("event_id").alias("position")
     )
     return lines.groupBy("run").agg(logs.first_value(lines, "click").alias("value"))
+
+
+# files and reports
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, text FROM conversations WHERE text <> ''")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with quotes, commas and line ends, written as CSV and read as a snapshot."""
+    folder = new_path(spark, "snapshot")
+    snapshots.write_csv(spark.read.parquet(f"{d}/conversations.parquet").where("text <> ''").select("conv_id", "turn", "role", "text"), f"{folder}/turns.txt")
+    return snapshots.read_snapshot(spark, folder, snapshots.table_names(spark, folder))[snapshots.resolve("TURNS.csv", ["turns"])]
+
+
+@query("SELECT 'customer' AS table_name, count(*) AS row_count, (SELECT count(*) FROM (DESCRIBE customer)) AS column_count FROM customer UNION ALL SELECT 'orders', count(*), (SELECT count(*) FROM (DESCRIBE orders)) FROM orders")
+def table_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and columns of tables."""
+    return snapshots.shape({n: spark.read.parquet(f"{d}/{n}.parquet") for n in ("customer", "orders")}).withColumn("column_count", F.col("column_count").cast("long"))
+
+
+@query("SELECT DISTINCT source FROM documents WHERE trim(source) <> ''")
+def distinct_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct values of a column that aren't blank."""
+    return snapshots.distinct_values(spark.read.parquet(f"{d}/documents.parquet"), "source")
+
+
+@query(fx.quads_sql(["stops", "pages"]))
+def nquads_files(spark: SparkSession, d: str) -> DataFrame:
+    """A graph written as N-Quads files and read again."""
+    path = new_path(spark, "nquads")
+    nquads.write(_graph(spark, d, ["stops", "pages"]), path)
+    return nquads.read(spark, path)
+
+
+@query(f"SELECT DISTINCT s FROM ({fx.quads_sql(['stops', 'agency'])})")
+def iri_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects of two kinds in one list of IRIs, written and read."""
+    path = new_path(spark, "iris")
+    nquads.write_iris(_graph(spark, d, ["stops"]).select("s"), path)
+    nquads.write_iris(_graph(spark, d, ["agency"]).select("s"), path, append=True)
+    return nquads.read_iris(spark, path)
+
+
+@query(fx.quads_sql(["trips"]))
+def turtle_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of a mapping that was written as Turtle and parsed."""
+    mapping = turtle.parse(turtle.serialise(fx.MAPPING)).narrowed(["trips"])
+    return compile_mapping(mapping, fx.tables(spark, d, *_sources(["trips"], fx.MAPPING)))
+
+
+@query("""SELECT 'routes' AS child, 'agency' AS parent, 'keep' AS rule, (SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)) AS dangling,
+  (SELECT count(*) FROM customer) * (SELECT count(*) FROM nation) AS pairs, (SELECT count(*) FROM customer) * (SELECT count(*) FROM nation) >= 5000000 AS warn
+UNION ALL SELECT 'stops', 'stops', 'E1', (SELECT count(DISTINCT p_partkey - p_partkey % 10) FROM part WHERE p_partkey - p_partkey % 10 NOT IN (SELECT p_partkey FROM part)), (SELECT count(*) * count(*) FROM part), false""")
+def join_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Each join's rule, dangling values, and pairs that nested loops would compare."""
+    mapping = Mapping.of([fx.MAPPING.one(label) for label in ("routes", "stops", "agency")])
+    rows = join_report(mapping, fx.tables(spark, d, *_sources(["routes", "stops"], fx.MAPPING)))
+    return spark.createDataFrame([{k: r[k] for k in ("child", "parent", "rule", "dangling", "pairs", "warn")} for r in rows], "child string, parent string, rule string, dangling long, pairs long, warn boolean")
+
+
+@query("""WITH a AS (SELECT o_custkey, CAST(sum(o_orderkey) AS BIGINT) AS sum_a FROM orders GROUP BY 1), b AS (SELECT o_custkey, CAST(sum(o_orderkey) AS BIGINT) AS sum_b FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1)
+SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, sum_a, sum_b FROM a FULL OUTER JOIN b ON a.o_custkey = b.o_custkey WHERE sum_a IS DISTINCT FROM sum_b""")
+def unequal_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Groups whose totals differ between two runs' tables."""
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return metrics.unequal_sums(orders, orders.where("o_orderkey % 7 <> 0"), ["o_custkey"], "o_orderkey")
+
+
+@query("SELECT event_id, printf('%.3f', event_id / 8.0) AS eighths, CASE WHEN event_id % 2 = 0 THEN '' ELSE printf('%.1f', CAST(event_id AS DOUBLE)) END AS odd FROM events")
+def shown_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers as reports print them."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("event_id") / 8.0).alias("x"), F.expr("case when event_id % 2 = 1 then event_id end").alias("y"))
+    return e.select("event_id", metrics.shown("x").alias("eighths"), metrics.shown("y", 1).alias("odd"))
+
+
+@query("SELECT event_id, CAST((event_id * 37) % 7200 AS DOUBLE) AS seconds, event_id / 1024.0 AS mb FROM events")
+def time_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Elapsed time and peak memory from whole ``time -v`` reports."""
+    n = F.expr("(event_id * 37) % 7200")
+    clock = F.format_string("%d:%02d:%02d", F.floor(n / 3600), F.floor(n / 60) % 60, n % 60)
+    report = F.concat(F.lit("\tElapsed (wall clock) time (h:mm:ss or m:ss): "), clock, F.lit("\n\tMaximum resident set size (kbytes): "), F.col("event_id").cast("string"), F.lit("\n"))
+    elapsed, kb = logs.timings(report)
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", scalars.elapsed_seconds(elapsed).alias("seconds"), scalars.kb_to_mb(kb).alias("mb"))

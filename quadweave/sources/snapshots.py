@@ -23,9 +23,13 @@ KEYS: dict[str, tuple[str, ...]] = {
 }
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header; every cell is text, quotes doubled within quotes."""
-    return spark.read.options(header=True, inferSchema=False, multiLine=True, escape='"', encoding="UTF-8", nullValue="\0").csv(path)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV file with a header; every cell is text, quotes doubled within quotes.
+
+    A file whose cells may hold line ends is one task, whatever its size; without
+    such cells ``multi_line=False`` lets Spark split it.
+    """
+    return spark.read.options(header=True, inferSchema=False, multiLine=multi_line, escape='"', encoding="UTF-8", nullValue="\0").csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -33,9 +37,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).options(header=True, escape='"', emptyValue="").csv(path)
 
 
-def read_snapshot(spark: SparkSession, folder: str, names: Iterable[str], suffix: str = ".txt") -> dict[str, DataFrame]:
-    """The named tables of a folder of CSV files."""
-    return {n: read_csv(spark, f"{folder.rstrip('/')}/{n}{suffix}") for n in sorted(names)}
+def read_snapshot(spark: SparkSession, folder: str, names: Iterable[str], suffix: str = ".txt", multi_line: bool = True) -> dict[str, DataFrame]:
+    """The named tables of a folder of CSV files (``multi_line`` as in ``read_csv``)."""
+    return {n: read_csv(spark, f"{folder.rstrip('/')}/{n}{suffix}", multi_line) for n in sorted(names)}
 
 
 def table_names(spark: SparkSession, folder: str, suffix: str = ".txt") -> list[str]:

@@ -245,6 +245,50 @@ def test_commits(spark):
     assert {r.task: r.attempts for r in done.collect()} == {"a": 1, "b": 2, "c": 1, "d": 2}
 
 
+def test_commits_of_many_tasks_against_single_rounds(spark):
+    import random
+
+    rnd = random.Random(4)
+    wants = {t: sorted(rnd.sample("abcde", rnd.choice([1, 1, 2]))) for t in range(40)} | {t: ["hot"] for t in range(100, 160)}
+    read = {(t, k): rnd.choice([0, 0, 0, 1]) for t, ks in wants.items() for k in ks}
+    requests = spark.createDataFrame([(t, k, v) for (t, k), v in read.items()], "task long, key string, expected int")
+    final, done = commit.commit_all(spark.createDataFrame([], "key string, version int"), requests, ["task"])
+    left, versions, attempts, at = dict(wants), {}, {}, 0
+    while left:
+        at += 1
+        won = [t for t, ks in left.items() if all(min(o for o, other in left.items() if k in other) == t and (at > 1 or read[t, k] == 0) for k in ks)]
+        for t in won:
+            attempts[t] = at
+            for k in left.pop(t):
+                versions[k] = versions.get(k, 0) + 1
+    assert {r.task: r.attempts for r in done.collect()} == attempts and max(attempts.values()) > 20
+    assert {r.key: r.version for r in final.collect()} == versions
+
+
+def test_tables_that_repeat_keys(spark):
+    df = spark.createDataFrame([("1", "a", 1), ("1", "b", 2), ("2", "c", 3), ("2", "c", 4)], "k string, v string, place int")
+    assert diff.diff(df, df, ["k"], position=["place"]).isEmpty() and diff.diff(df, df, ["k"], position=[]).isEmpty()
+    (row,) = diff.diff(df, df.where("place <> 2"), ["k"], position=["place"]).collect()
+    assert (row.change, row.old.v, row.new.v) == ("updated", "b", "a")
+    assert diff.duplicate_totals(df, ["k"]).first().asDict() == {"groups": 2, "rows": 4, "lost": 2}
+    assert diff.diff_snapshots({"t": df}, {"t": df}, {"t": ["k"]})["t"].isEmpty()
+
+
+def test_runs_record_phases_and_check_rows(spark):
+    before = fx.tables(spark, "/root/testdata/sf0.001", "routes", "agency")
+    after = {**before, "routes": before["routes"].where("route_id <> '5'").withColumn("route_type", F.when(F.col("route_id") == "7", "X").otherwise(F.col("route_type")))}
+    mapping = fx.MAPPING.narrowed(["routes"])
+    new, record = refresh.distributed(compile_mapping(mapping, before), mapping, "routes", before, after, ["route_id"], "route_id", 4)
+    assert graph.difference(new, compile_mapping(mapping, after)).first().asDict() == {"missing": 0, "extra": 0}
+    assert (record["delta_rows"], record["stale_rows"], record["task_rows"]) == (1, 2, [1]) and {"diff_s", "partition_s", "refresh_s"} <= record.keys()
+
+
+def test_maps_that_share_no_subject_are_not_read(spark):
+    m = fx.MAPPING
+    assert graph.may_share_subjects(m.one("services1"), m.one("services2")) and not graph.may_share_subjects(m.one("trips"), m.one("routes"))
+    assert graph.affected_maps(m, ["routes"]) == ["trips", "routes"]
+
+
 def test_reports_and_versions(spark, tmp_path):
     reports = spark.createDataFrame([("a", 1), ("b", 2)], "task string, ms int")
     specs = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "task string, partition_id int")
