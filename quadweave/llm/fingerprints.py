@@ -3,7 +3,8 @@
 A text is normalised (Unicode NFKC, case folding, runs of white space to one
 space) and its canonical bytes hashed to 128 bits by xxh3.  Documents are grouped
 by the hash, and inside a group of two or more the canonical bytes themselves
-are compared: texts whose bytes differ get an ordinal behind the hash.
+are compared: where bytes differ, all texts with that hash get a second one (SHA-256)
+behind it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import shuffle_parts, tidied, written
+from .shared import joined_by_size, shuffle_parts, tidied, written
 
 #: Bits of the filter for repeated hashes (six hex digits); its 2 MB don't depend on the data.
 FILTER_BITS = 1 << 24
@@ -42,27 +43,32 @@ def digest(canon: bytes, width: int = 32) -> str:
     return xxhash.xxh3_128_hexdigest(canon)[:width]
 
 
+def second(canon: bytes) -> str:
+    """What tells texts with one hash apart."""
+    return hashlib.sha256(canon).hexdigest()[:32]
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 32) -> DataFrame:
-    """``id`` and ``fp`` of each row, before buckets are compared."""
+    """``id``, ``fp`` and ``sha`` of each row, before buckets are compared."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("fp string, sha string")
     @tidied
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.Series([digest(canonical(t), width) for t in texts], dtype=object)
+            yield pd.DataFrame([(digest(c, width), second(c)) for c in map(canonical, texts)], columns=["fp", "sha"])
 
-    return docs.select(F.col(id_col).alias("id"), of(F.col(text_col).cast("string")).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), of(F.col(text_col).cast("string")).alias("d")).select("id", "d.*")
 
 
-def resolve(hashed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 32) -> DataFrame:
-    """``id``, ``fingerprint`` and ``group_id`` from hashes, by comparing bytes in equal buckets.
+def clashes(hashed: DataFrame, docs: DataFrame, text_col: str = "text", width: int = 32) -> DataFrame:
+    """The hashes ``fp`` that texts with different bytes share, by comparing bytes in equal buckets.
 
     Only rows that may share a hash with another row are read again: a filter of
     fixed size over the repeated hashes picks them, and equal texts of one task
     are merged before they are sent.
     """
     spark = docs.sparkSession
-    buckets = hashed.groupBy("fp").agg(F.min("id").alias("group_id"), F.count("*").alias("n"))
+    buckets = hashed.groupBy("fp").agg(F.count("*").alias("n"))
     bit = F.conv(F.substring("fp", 1, 6), 16, 10).cast("long")
     maps = (
         buckets.where("n > 1")
@@ -88,41 +94,44 @@ def resolve(hashed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
                 rows.append((fp, canon if bits[at >> 3] >> (at & 7) & 1 else None))
             yield pd.DataFrame(rows, columns=["fp", "canon"])
 
-    repeated = (
-        docs.select(F.col(id_col).alias("id"), again(F.col(text_col).cast("string")).alias("c"))
-        .where("c.canon is not null")
-        .select("id", "c.fp", "c.canon")
-    )
-    classes = repeated.groupBy("fp", "canon").agg(F.min("id").alias("first"))
-    ranked = classes.withColumn("ordinal", F.row_number().over(Window.partitionBy("fp").orderBy("first")) - 1)
-    clashes = written(ranked.where("ordinal > 0"), "fingerprint-clashes")
-    if clashes.isEmpty():
-        return hashed.join(buckets.drop("n"), "fp").select("id", F.col("fp").alias("fingerprint"), "group_id")
-    odd = repeated.join(clashes, ["fp", "canon"]).select("id", "ordinal", "first")
-    return (
-        hashed.join(buckets.drop("n"), "fp")
-        .join(odd, "id", "left")
-        .select(
-            "id",
-            F.when(F.col("ordinal").isNull(), F.col("fp")).otherwise(F.concat_ws("-", "fp", "ordinal")).alias("fingerprint"),
-            F.coalesce("first", "group_id").alias("group_id"),
-        )
-    )
+    repeated = docs.select(again(F.col(text_col).cast("string")).alias("c")).where("c.canon is not null").select("c.fp", "c.canon")
+    return written(repeated.distinct().groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "fingerprint-clashes")
+
+
+def labelled(hashed: DataFrame, clashing: DataFrame, fp: str, sha: str, name: str) -> DataFrame:
+    """``hashed`` with its columns ``fp`` and ``sha`` made one fingerprint ``name``: the hash, and the second one where it clashes."""
+    if clashing.isEmpty():
+        return hashed.withColumnRenamed(fp, name).drop(sha)
+    mark = "hash clashes"
+    marked = hashed.join(clashing.select(F.col("fp").alias(fp), F.lit(True).alias(mark)), fp, "left")
+    return marked.withColumn(name, F.when(F.col(mark), F.concat_ws("-", fp, sha)).otherwise(F.col(fp))).drop(fp, sha, mark)
+
+
+def resolve(hashed: DataFrame, docs: DataFrame, text_col: str = "text", width: int = 32) -> DataFrame:
+    """The rows of ``hashed`` with ``fingerprint`` for ``fp`` and ``sha``, and ``group_id``, the least id with that fingerprint."""
+    return grouped(labelled(hashed, clashes(hashed, docs, text_col, width), "fp", "sha", "fingerprint"))
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """``rows`` (``id``, ``fingerprint``) with ``group_id``."""
+    groups = written(rows.groupBy("fingerprint").agg(F.min("id").alias("group_id"), F.count("*").alias("n")), "fingerprint-groups")
+    return joined_by_size(rows, groups, ["fingerprint"], "n")
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``fingerprint`` and ``group_id`` (the least id with the same canonical text).
 
     Null counts as the empty text, and all empty texts form one group.  Rows
-    with repeated ids share their group by text, not by id.  An empty table
-    gives an empty result; other columns are ignored.
+    with repeated or null ids are each grouped by their own text; a group of null
+    ids only has a null ``group_id``.  An empty table gives an empty result; other
+    columns are ignored.
     """
     hashed = written(digests(docs, id_col, text_col), "fingerprints")
-    return resolve(hashed, docs, id_col, text_col).withColumnRenamed("id", id_col)
+    return resolve(hashed, docs, text_col).select(F.col("id").alias(id_col), "fingerprint", "group_id")
 
 
 _EDITED = (
-    "id long, n_chars long, edited_sha256 string, fp string, edited_fp string, near_edited double, near_next double, "
+    "id long, n_chars long, edited_sha256 string, fp string, sha string, edited_fp string, edited_sha string, near_edited double, near_next double, "
     "part int, head string, tail string"
 )
 
@@ -137,7 +146,9 @@ def _edit(text: str, following: str) -> tuple:
         len(text),
         hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(),
         digest(canon),
+        second(canon),
         digest(changed),
+        second(changed),
         float(canon == changed),
         float(canon == canonical(following)),
     )
@@ -148,7 +159,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     The edited form has the last half of the code points replaced by the first
     as many of the next document's; the last document is followed by the first.
-    Returns ``id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next``.
+    Returns ``id, n_chars, edited_sha256, fp, sha, edited_fp, edited_sha, near_edited, near_next``.
     Texts cross the network once, dealt out by ranges of ids; then only the first
     text of each range goes to the range before it.  Null counts as empty, rows
     with one id follow each other in text order, an empty table gives an empty
@@ -162,7 +173,6 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
     @tidied
-
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         held = head = None
@@ -177,7 +187,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 held = (i, text)
             yield pd.DataFrame(rows, columns=columns)
         if held is not None:
-            nothing = (len(held[1]), None, None, None, None, None)
+            nothing = (len(held[1]), *[None] * 7)
             yield pd.DataFrame([(held[0], *nothing, part, head, held[1])], columns=columns)
 
     columns = [c.split()[0] for c in _EDITED.split(", ")]
@@ -191,8 +201,8 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
     last = ends.join(order.join(heads, "part").select(F.col("before").alias("part"), "head"), "part")
 
-    @F.pandas_udf(", ".join(_EDITED.split(", ")[1:7]))
+    @F.pandas_udf(", ".join(_EDITED.split(", ")[1:9]))
     def edit(tail: pd.Series, head: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_edit(a, b) for a, b in zip(tail, head, strict=True)], columns=columns[1:7])
+        return pd.DataFrame([_edit(a, b) for a, b in zip(tail, head, strict=True)], columns=columns[1:9])
 
     return inner.unionByName(last.select("id", edit("tail", "head").alias("e")).select("id", "e.*"))

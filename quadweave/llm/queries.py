@@ -17,16 +17,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text and of its edited form, and their likeness."""
     docs = documents(spark, sf_dir)
     pairs = written(fingerprints.edits(docs), "op1-edits")
-    groups = fingerprints.resolve(pairs.select("id", "fp"), docs)
-    return pairs.drop("fp").join(groups, "id").select(
-        F.col("id").alias("doc_id"),
-        "n_chars",
-        "edited_sha256",
-        "fingerprint",
-        F.col("edited_fp").alias("edited_fingerprint"),
-        "near_edited",
-        "near_next",
-        "group_id",
+    clashing = fingerprints.clashes(pairs, docs)
+    own = fingerprints.labelled(pairs, clashing, "fp", "sha", "fingerprint")
+    both = fingerprints.labelled(own, clashing, "edited_fp", "edited_sha", "edited_fingerprint")
+    return fingerprints.grouped(both).select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id"
     )
 
 

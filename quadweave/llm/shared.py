@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder, intermediate tables, input columns."""
+"""Session helpers: batches, draws, joins by size, input columns."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ import functools
 import gc
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -18,29 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    The setting is read from the session.  Only where it is unset, as in local
-    tests, a temporary folder of this machine is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quadweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    Cuts lineage: a lost executor costs a reread of the files, not a recompute.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..tables import written as written  # noqa: PLC0414
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +79,23 @@ def draw(rows: DataFrame, group: str, k: int, order: list[str], groups: int = 50
     return few.withColumn("rank", F.row_number().over(lowest)).where(F.col("rank") <= k).drop("_n")
 
 
+def joined_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, share: int = 1000) -> DataFrame:
+    """``rows`` with the columns of their group, inner.
+
+    ``groups`` has one row per ``keys`` and its number of rows (``size``).  Groups of
+    a ``share``-th of all rows or more, of which there are at most ``share``, are sent
+    to all executors, so that no hot key's rows meet in one task.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) * share >= total
+    mark = "group is large"
+    marked = rows.join(F.broadcast(groups.where(large).withColumn(mark, F.lit(True))), keys, "left")
+    more = [c for c in groups.columns if c not in (*keys, size)]
+    small = marked.where(F.col(mark).isNull()).select(*rows.columns).join(groups.where(~large), keys)
+    columns = [*rows.columns, *more]
+    return marked.where(F.col(mark)).select(*columns).unionByName(small.select(*columns))
+
+
 #: Rows and bytes of a batch that a Python worker gets at once, at most.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 _SHIPPED: set[str] = set()
