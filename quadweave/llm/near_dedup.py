@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import tidied, written
+from .shared import joined_by_size, tidied, written
 from .textkit import as_bytes, hashed_words, mix
 
 _U = np.uint64
@@ -188,7 +188,10 @@ def _signature_table(docs: DataFrame, plan: Plan, id_col: str, text_col: str) ->
                 i = j
             yield pd.concat(parts) if parts else pd.DataFrame(columns=[c.split()[0] for c in _SIGNATURE.split(", ")])
 
-    return docs.select(F.col(id_col).alias("id"), sign(F.col(text_col).cast("string")).alias("s")).select("id", "s.*")
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text"), sign(text).alias("s")).select(
+        F.monotonically_increasing_id().alias("row"), F.struct("id", "text").alias("key"), "s.*"
+    )
 
 
 def _alike(plan: Plan) -> Column:
@@ -220,16 +223,34 @@ def near_duplicates(
 
     Documents are linked if their sets of distinct ``words``-word shingles have
     100 * intersection >= ``percent`` * union; ``component_id`` is the least id
-    reachable over links.  Null, empty and blank texts have no shingles and are
-    linked with nothing.  Equal texts are linked whatever their length.  Rows
-    that repeat an id are judged by their own text.  An empty table gives an
-    empty result; other columns are ignored.
+    reachable over links, and a row is ``kept`` if that is its own.  Null, empty and
+    blank texts have no shingles and are linked with nothing.  Equal texts are linked
+    whatever their length.  Rows that repeat an id are judged by their own text, so
+    are null ids; they come after all others, and a component of nothing else has the
+    null id and is kept.  An empty table gives an empty result; other columns are
+    ignored.
+    """
+    return _judged(docs, words, percent, id_col, text_col, block).select(
+        F.col("key.id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        "component_id",
+        F.col("key.id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
+def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
+    """``key`` (id, and hash of the text), ``n``, ``root`` (of the component; null without shingles) and ``component_id`` of each row.
+
+    What is linked are *classes*, the texts with one shingle set; a class goes by the
+    number of its first row, so that ids may repeat.
     """
     plan = Plan.of(words, percent)
     signed = written(_signature_table(docs, plan, id_col, text_col), "signatures")
-    key = ["high", "low", "n"]
-    classes = written(signed.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep")), "shingle-classes")
-    reps = signed.join(classes, key).where("id = rep").dropDuplicates(["id"])
+    digest = ["high", "low", "n"]
+    classes = written(
+        signed.where("n > 0").groupBy(*digest).agg(F.min("row").alias("id"), F.min("key.id").alias("least"), F.count("*").alias("rows")), "shingle-classes"
+    )
+    reps = signed.join(classes.select(F.col("id").alias("row")), "row").withColumnRenamed("row", "id")
     sketches = ["id", "n", "s0", "s1", "s2", "s3"]
     banded = reps.select(F.explode("bands").alias("band"), *sketches[:1])
     buckets = banded.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
@@ -243,10 +264,10 @@ def near_duplicates(
         for texts in batches:
             yield pd.Series([_signed(s) for s in shingles(as_bytes(texts), words)], dtype=object)
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = written(
-        texts.join(involved, "id", "left_semi").dropDuplicates(["id"]).select("id", items("text").alias("items")), "shingle-sets"
-    )
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text")).alias("key"), text.alias("text"))
+    wanted = reps.join(involved, "id", "left_semi").select("key", "id")
+    sets = written(texts.join(wanted, "key").dropDuplicates(["id"]).select("id", items("text").alias("items")), "shingle-sets")
 
     # each member against the leader with whom it shares most bands
     shared = members.where("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("times"))
@@ -316,35 +337,39 @@ def near_duplicates(
     more = written(_confirmed(second.join(tested, ["a", "b"], "left_anti"), sets, plan), "links")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    rooted = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("root"))
-    return (
-        signed.select("id", *key)
-        .join(rooted, key, "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.col("n").alias("n_shingles"),
-            F.coalesce("root", "id").alias("component_id"),
-            (F.col("id") == F.coalesce("root", "id")).alias("kept"),
-        )
-    )
+    rooted = classes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("members"))
+    named = joined_by_size(rooted.select(*digest, "root", "rows"), written(least, "components"), ["root"], "members")
+    rows = joined_by_size(signed.where("n > 0").select("key", *digest), written(named, "named-classes"), digest, "rows")
+    alone = signed.where("n = 0").select("key", "n", F.lit(None).cast("long").alias("root"), F.col("key.id").alias("component_id"))
+    return rows.select("key", "n", "root", "component_id").unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that stand for their component: its least id, once.
 
-    Repeated rows (same id and text) stay once.  The smaller the set of ids that
-    go, the cheaper: up to BROADCAST_IDS of them are sent to all executors,
-    beyond that both sides are shuffled.
+    Of rows with one id and text one stays, which is arbitrary; of linked texts that
+    share the least id the one with the least hash.  Texts without shingles stay.
+    Up to BROADCAST_IDS rows that go are sent to all executors, beyond that both
+    sides are shuffled.
     """
-    gone = near_duplicates(docs, words, percent, id_col, text_col).where(~F.col("kept")).select(id_col).distinct()
-    gone = written(gone, "near-duplicates")
+    judged = written(_judged(docs, words, percent, id_col, text_col), "judged")
+    least = F.col("key.id").eqNullSafe(F.col("component_id"))
+    # linked texts under one least id: there are none unless ids repeat
+    several = written(judged.where((F.col("n") > 0) & least).groupBy("root").agg(F.min("key.text").alias("lo"), F.max("key.text").alias("hi")).where("lo <> hi"), "repeated-least")
+    gone = judged.where((F.col("n") > 0) & ~least).select("key")
+    if not several.isEmpty():
+        gone = gone.unionByName(judged.where((F.col("n") > 0) & least).join(several, "root").where(F.col("key.text") != F.col("lo")).select("key"))
+    mark = "key of row"
+    gone = written(gone.select(F.col("key").alias(mark)).distinct(), "near-duplicates")
     if gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, id_col, "left_anti")
-    twice = written(left.groupBy(id_col).count().where("count > 1").select(id_col), "repeated-ids")
+    keyed = docs.withColumn(mark, F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text")))
+    left = keyed.join(gone, mark, "left_anti")
+    twice = written(judged.groupBy("key").count().where("count > 1").select(F.col("key").alias(mark)), "repeated-rows")
     if twice.isEmpty():
         return left.select(docs.columns)
-    mark = "row of repeated id"
-    order = Window.partitionBy(id_col, F.xxhash64(F.col(text_col).cast("string"))).orderBy(F.col(id_col))
-    repeated = left.join(twice, id_col, "left_semi").withColumn(mark, F.row_number().over(order)).where(F.col(mark) == 1)
-    return left.join(twice, id_col, "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns))
+    place = "place of row"
+    order = Window.partitionBy(mark).orderBy(F.col(f"`{mark}`.id"))
+    repeated = left.join(twice, mark, "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    return left.join(twice, mark, "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns))
