@@ -74,7 +74,7 @@ def dangling(child: DataFrame, parent: DataFrame, on: tuple[tuple[str, str], ...
 
 
 def contained_in(tables: dict[str, DataFrame]) -> Callable[[TriplesMap, TriplesMap, Join], bool]:
-    """The check for ``eliminate_joins`` against the tables themselves (one small job per join)."""
+    """The check for ``eliminate_joins`` against the tables themselves: a job per join, which shuffles the distinct values of both sides."""
     return lambda child, parent, join: dangling(tables[child.source], tables[parent.source], join.on).isEmpty()
 
 

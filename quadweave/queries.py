@@ -17,6 +17,7 @@ from .mapping.rewrite import contained_in, dangling, eliminate_joins, join_repor
 from .operators import changes, commit, diff, graph, metrics, partition
 from .plans import refresh
 from .sources import logs, nquads, snapshots
+from .streaming import refresh as streams
 from .tables import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -869,3 +870,77 @@ def time_reports(spark: SparkSession, d: str) -> DataFrame:
     report = F.concat(F.lit("\tElapsed (wall clock) time (h:mm:ss or m:ss): "), clock, F.lit("\n\tMaximum resident set size (kbytes): "), F.col("event_id").cast("string"), F.lit("\n"))
     elapsed, kb = logs.timings(report)
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", scalars.elapsed_seconds(elapsed).alias("seconds"), scalars.kb_to_mb(kb).alias("mb"))
+
+
+@query("SELECT 'orders' AS key, CAST(count(*) AS VARCHAR) AS value FROM orders UNION ALL SELECT 'note', 'a: b' UNION ALL SELECT 'sizes', '[1, 2]'")
+def run_log_files(spark: SparkSession, d: str) -> DataFrame:
+    """A run's metrics written as a log and read by key."""
+    path = new_path(spark, "run-log")
+    logs.write_run_log(spark, {"orders": spark.read.parquet(f"{d}/orders.parquet").count(), "note": "a: b", "sizes": [1, 2]}, path)
+    return logs.read_logs(spark, path).select("key", "value")
+
+
+@query(f"SELECT 'md5' AS partition_hash, CAST({K} AS BIGINT) AS partition_k, 0.75 AS partition_skew_p, count(*) AS delta_rows FROM orders")
+def manifest_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest written as JSON and read back with its fields checked."""
+    path = new_path(spark, "manifest")
+    logs.write_manifest(spark, {"partition_hash": "md5", "partition_k": K, "partition_skew_p": 0.75, "delta_rows": spark.read.parquet(f"{d}/orders.parquet").count()}, path)
+    return spark.createDataFrame([logs.read_json_sidecar(spark, path)], "partition_hash string, partition_k long, partition_skew_p double, delta_rows long")
+
+
+@query(f"{_PIECES} SELECT partition_id, subpartition_id, count(*) AS row_count, count(DISTINCT (trip_id, stop_id, supplier_id)) AS keys FROM pieces GROUP BY ALL")
+def partition_files(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and keys of each task, written to files of their own and read back."""
+    path = new_path(spark, "partitions")
+    partition.write_partitions(partition.split_hot(_assigned(spark, d, hot=True), K, THRESHOLD, FACTOR, fx.KEYS), fx.KEYS, path)
+    by = ["partition_id", "subpartition_id"]
+    rows = spark.read.parquet(f"{path}/rows").groupBy(*by).agg(F.count("*").alias("row_count"))
+    keys = spark.read.text(f"{path}/keys").groupBy(*by).agg(F.countDistinct("value").alias("keys"))
+    same = (rows.partition_id == keys.partition_id) & rows.subpartition_id.eqNullSafe(keys.subpartition_id)
+    return rows.join(keys, same).select(rows.partition_id, rows.subpartition_id, "row_count", "keys")
+
+
+@query("SELECT o_custkey AS task, o_orderkey, c_nationkey AS partition_id FROM orders JOIN customer ON c_custkey = o_custkey")
+def matched_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Reports with their task's specification."""
+    reports = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("task"), "o_orderkey")
+    return commit.matched(reports, spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("task"), F.col("c_nationkey").alias("partition_id")))
+
+
+@query(fx.quads_sql(["routes"]))
+def rebound_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of a mapping whose source was given another name."""
+    mapping = fx.MAPPING.narrowed(["routes"]).rebound({"routes": "ROUTES_NEW.csv"})
+    tables = fx.tables(spark, d, "routes", "agency")
+    return refresh.reconstruct(mapping, {"routes_new": tables["routes"], "agency": tables["agency"]})
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def streamed_first_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks whose first report a stream let through, once each."""
+    path = new_path(spark, "first-reports")
+    first = streams.first_reports(_streamed(spark, d), "user_id", "ts", "36500 days").select("user_id")
+    first.writeStream.option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).format("parquet").start(path).awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Events by hour and kind, counted by a stream, one micro-batch after another."""
+    path = new_path(spark, "windows")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    # files of a stream come once; the counts of its last batch are those of all
+    counts = streams.windowed_counts(_streamed(spark, d), "ts", "event_type")
+    writer = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", new_path(spark, "stream"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    every = spark.read.parquet(path)
+    last = every.agg(F.max("batch").alias("batch"))
+    return every.join(F.broadcast(last), "batch").select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
