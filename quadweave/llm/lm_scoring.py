@@ -345,6 +345,19 @@ def _unpack_keys(b: bytes) -> np.ndarray:
     return np.cumsum(_unpack(b), dtype=_U)
 
 
+def _pack_costs(costs: np.ndarray) -> bytes:
+    """Costs rounded to 13 bits of their fractions (1e-4 of each), compressed byte plane by byte plane."""
+    bits = (costs.astype(np.float32).view(np.uint32) + np.uint32(1 << 9)) >> np.uint32(10)
+    return zlib.compress(np.ascontiguousarray(bits.view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes(), 1)
+
+
+def _unpack_costs(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(b), np.uint8).reshape(3, -1)
+    bits = np.zeros((planes.shape[1], 4), np.uint8)
+    bits[:, :3] = planes.T
+    return (bits.reshape(-1).view(np.uint32) << np.uint32(10)).view(np.float32)
+
+
 def _parted(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of sorted windows in the order of their parts, and where each part begins and ends."""
     part = (mix((keys >> _U(8)) & _U(_SHORT - 1)) % _U(parts)).astype(np.int64)
@@ -496,7 +509,7 @@ def priced(counted: DataFrame, asked: DataFrame) -> DataFrame:
         keys, number = np.unique(np.concatenate([np.zeros(0, _U), *blocks]), return_inverse=True)
         cost = Model(_tables(short, own), weights, refine).bits(keys)
         cuts = np.cumsum([0, *(len(b) for b in blocks)])
-        return pd.DataFrame({"part": rows["part"], "slice": rows["slice"], "costs": [cost[number[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+        return pd.DataFrame({"part": rows["part"], "slice": rows["slice"], "costs": [_pack_costs(cost[number[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
 
     none = F.lit(None).cast("binary")
     both = counted.where("part >= 0").select("part", F.lit(-1).cast("long").alias("slice"), "keys", "counts").unionByName(asked.withColumn("counts", none))
@@ -596,7 +609,7 @@ def _scored(docs: DataFrame, training: DataFrame, id_col: str, text_col: str) ->
         order, cuts = _parted(keys, parts)
         cost = np.zeros(len(keys), np.float32)
         for p, c in zip(blocks["part"], blocks["costs"], strict=True):
-            cost[order[cuts[p] : cuts[p + 1]]] = np.frombuffer(c, np.float32)
+            cost[order[cuts[p] : cuts[p + 1]]] = _unpack_costs(c)
         bits = _per_text(cost[number], sizes)
         hashes, offsets = hashed_words(some)
         owner = np.repeat(np.arange(len(some)), np.diff(offsets))
