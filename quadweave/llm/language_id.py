@@ -16,6 +16,7 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import draw, tidied
 
@@ -29,8 +30,6 @@ CARRIER = bytes(256)
 UNKNOWN = "und"
 #: Margin (of the smallest to the next size) up to which a prediction counts as rejected.
 MARGIN = 0.001
-#: Fewer bytes of letters can't tell languages apart: such texts aren't rejected for a narrow margin.
-LEAST_BYTES = 64
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
@@ -46,8 +45,9 @@ def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     Per language, at most SAMPLE_TEXTS distinct whole texts of 32 to
     DICTIONARY_BYTES bytes are drawn in hash order of ``key`` (thinned out before
     the shuffle), and taken while they fit.  Where a language has none, texts of
-    fewer bytes and the beginnings of longer ones are drawn instead.  The languages
-    beyond the MAX_LANGUAGES most frequent are not learned.
+    fewer bytes and the beginnings of longer ones are drawn instead.  Of the drawn
+    texts the driver gets twice DICTIONARY_BYTES per language at most, which is 8 MB in
+    all.  The languages beyond the MAX_LANGUAGES most frequent are not learned.
     """
     text, size = F.col(text_col).cast("string"), F.octet_length("text")
     rows = training.select(text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(key)).alias("h")).where(
@@ -60,7 +60,9 @@ def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     texts = rows.groupBy("lang", "fits", "same").agg(F.min("h").alias("h"))
     best = texts.groupBy("lang").agg(F.max("fits").alias("fits"))
     few = draw(texts.join(best, ["lang", "fits"]), "lang", SAMPLE_TEXTS, ["same"], MAX_LANGUAGES)
-    drawn = rows.join(F.broadcast(few), ["lang", "fits", "same", "h"]).groupBy("lang", "rank").agg(F.min("text").alias("text")).collect()
+    drawn = rows.join(F.broadcast(few), ["lang", "fits", "same", "h"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
+    before = F.sum(size).over(Window.partitionBy("lang").orderBy("rank")) - size
+    drawn = drawn.withColumn("before", before).where(F.col("before") < DICTIONARY_BYTES).collect()
     out: dict[str, bytes] = {}
     for row in sorted(drawn, key=lambda r: (r.lang, r.rank)):
         content = letters(row.text)
@@ -101,8 +103,7 @@ def predict_one(text: str | None, model: tuple[tuple[str, bytes], ...], margin:
         return model[0][0], 1.0, 1.0, False
     lead = float((size[order[1]] - size[order[0]]) / size[order[1]])
     weight = np.exp(-(size - size.min()) * np.log(2.0))
-    narrow = lead <= margin and len(letters(text)) >= LEAST_BYTES
-    return model[int(order[0])][0], float(1 / weight.sum()), lead, narrow
+    return model[int(order[0])][0], float(1 / weight.sum()), lead, lead <= margin
 
 
 def frozen(model: dict[str, bytes]) -> tuple[tuple[str, bytes], ...]:
@@ -115,7 +116,8 @@ def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", te
 
     ``und``, score 0 and rejected where the text is null, empty or has no
     letter, or nothing was learned.  Equal sizes go to the first language in
-    alphabetical order, with a margin of 0.  Repeated rows stay, an empty table
+    alphabetical order, with a margin of 0, and are rejected as all margins up to
+    ``margin`` are, whatever the text's length.  Repeated rows stay, an empty table
     gives an empty result, other columns are ignored.
     """
     fixed = frozen(model)
