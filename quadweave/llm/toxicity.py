@@ -15,28 +15,38 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import draw, tidied
+from .shared import draw, tidied, written
 from .textkit import as_bytes, hashed_words
 
 _U = np.uint64
-#: Labelled texts to fit on, at most, of each label; features kept; texts that a feature occurs in at least.
-SAMPLE, FEATURES, LEAST_TEXTS = 4000, 4096, 4
+#: Labelled texts to fit on, at most, of each label, and their bytes; features kept; texts that a feature occurs in at least.
+SAMPLE, SAMPLE_BYTES, FEATURES, LEAST_TEXTS = 4000, 32 << 20, 4096, 4
 #: Bytes of the word beginnings that are features beside whole words.
 PREFIXES = (4, 5, 6, 7)
 #: Strengths of the weight penalty and of the counterfactual penalty.
 DECAY, FAIRNESS, STEPS = 2e-3, 4.0, 400
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.7
-#: Kinds of identity terms that can stand for each other (fixed lists).
+#: Identity terms of one language, kind and number, which can stand for each other (fixed lists): English, German, French, Spanish.
 IDENTITY = (
-    "women men girls boys woman man girl boy female male transgender nonbinary",
-    "muslim muslims christian christians jewish jews hindu hindus buddhist buddhists atheist atheists catholic catholics",
-    "black white asian latino latina hispanic african arab european american indian chinese mexican",
-    "gay lesbian bisexual straight queer heterosexual homosexual",
-    "immigrant immigrants refugee refugees citizen citizens foreigner foreigners native natives",
-    "disabled blind deaf elderly old young poor rich",
-)
+    "women men", "woman man", "girls boys", "girl boy", "female male",
+    "muslims christians jews hindus buddhists atheists catholics", "muslim christian jewish hindu buddhist atheist catholic",
+    "black white asian latino african arab european indian chinese mexican",
+    "gay lesbian bisexual straight queer heterosexual homosexual transgender",
+    "immigrants refugees citizens foreigners natives", "immigrant refugee citizen foreigner native",
+    "disabled blind deaf", "old young elderly", "rich poor",
+    "frauen männer", "frau mann", "mädchen jungen", "weiblich männlich",
+    "muslime christen juden buddhisten atheisten katholiken", "schwarze weiße", "afrikaner asiaten europäer araber",
+    "schwul lesbisch bisexuell heterosexuell", "einwanderer flüchtlinge bürger ausländer", "behinderte blinde taube", "alte junge", "reiche arme",
+    "femmes hommes", "femme homme", "filles garçons", "fille garçon",
+    "musulmans chrétiens juifs hindous bouddhistes athées catholiques", "noirs blancs", "africains asiatiques européens arabes",
+    "gays lesbiennes bisexuels hétérosexuels", "immigrés réfugiés citoyens étrangers", "handicapés aveugles sourds", "vieux jeunes", "riches pauvres",
+    "mujeres hombres", "mujer hombre", "niñas niños", "niña niño",
+    "musulmanes cristianos judíos hindúes budistas ateos católicos", "negros blancos", "africanos asiáticos europeos árabes",
+    "lesbianas bisexuales heterosexuales", "inmigrantes refugiados ciudadanos extranjeros", "discapacitados ciegos sordos", "viejos jóvenes", "ricos pobres",
+)
 
 
 #: Bits of the buckets by which features are sifted.
@@ -101,21 +111,28 @@ def scores(texts: list[bytes], model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
+def substitutes() -> dict[bytes, bytes]:
+    """Each identity term's substitute: the next term of its list."""
+    other: dict[bytes, bytes] = {}
+    for kind in IDENTITY:
+        terms = kind.encode().split()
+        other |= {t: terms[(i + 1) % len(terms)] for i, t in enumerate(terms) if t not in other}
+    return other
+
+
 def swaps(texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
     """(text number, identity term, its substitute) for every term that a text holds.
 
-    The substitute is the next but one term of the same kind, so a plural is
-    exchanged for another plural where the list alternates.
+    A term of the lists that no text holds is swapped in a sentence of its own
+    (number -1), so that no score depends on it by a shared word beginning either.
     """
-    other: dict[bytes, bytes] = {}
-    for kind in IDENTITY:
-        terms = kind.encode().split()
-        other |= {t: terms[(i + 2) % len(terms)] for i, t in enumerate(terms)}
+    other = substitutes()
     found = []
     for i, text in enumerate(texts):
         for word in set(text.lower().translate(_SIGNS).split()) & other.keys():
             found.append((i, word, other[word]))
-    return sorted(found)
+    unseen = other.keys() - {word for _, word, _ in found}
+    return sorted(found) + [(-1, word, other[word]) for word in sorted(unseen)]
 
 
 def _strength(df: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
@@ -153,13 +170,14 @@ def fit(texts: list[bytes], target: np.ndarray) -> Model:
     feature = np.concatenate([np.zeros(0, np.int64), *(f for _, f in parts)])
     # rows of counterfactual differences: the substitute's features less the term's
     pairs = swaps(texts)
+    of = {word: _present([word], features)[1] if len(features) else [] for _, *both in pairs for word in both}
+    pairs = [(i, term, to) for i, term, to in pairs if i >= 0 or len(of[term]) or len(of[to])]
     rows, cols, signs = [], [], []
     for r, (_, term, to) in enumerate(pairs):
         for word, sign in ((to, 1.0), (term, -1.0)):
-            _, f = _present([word], features) if len(features) else (None, [])
-            rows += [r] * len(f)
-            cols += list(f)
-            signs += [sign] * len(f)
+            rows += [r] * len(of[word])
+            cols += list(of[word])
+            signs += [sign] * len(of[word])
     rows, cols, signs = np.array(rows, int), np.array(cols, int), np.array(signs)
     # the rarer label counts more, by the square root of the imbalance
     matter = np.where(target > 0, np.sqrt((1 - share) / share), 1.0)
@@ -182,25 +200,28 @@ def fit(texts: list[bytes], target: np.ndarray) -> Model:
 
 
 def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most SAMPLE texts of each label, drawn in hash order of the id.
+    """Fit on at most SAMPLE texts of each label, SAMPLE_BYTES bytes in all, drawn in hash order of the id.
 
-    The draw is thinned out before the shuffle.  Null texts and labels
-    are left out; with no rows of one label the model is a constant.
+    Texts over a quarter of the bytes are left out; per label, the others are taken
+    whole while those before them have less than a quarter.  The draw is thinned out before the shuffle.
+    Null texts and labels and ids with both labels are left out; with no rows of one
+    label the model is a constant.
     """
     known = (
         labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-        .where("y in (0, 1)")
-        .dropDuplicates(["id"])
-        .withColumn("h", F.xxhash64("id"))
-    )
-    drawn = draw(known, "y", SAMPLE, ["id"]).select("id", "y")
-    rows = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-        .where("text is not null")
-        .join(F.broadcast(drawn), "id")
-        .select("text", "y")
-        .collect()
+        .where("y in (0, 1) and id is not null")
+        .groupBy("id")
+        .agg(F.min("y").alias("y"), F.max("y").alias("hi"))
+        .where("y = hi")
+        .select("id", "y", F.xxhash64("id").alias("h"))
     )
+    drawn = draw(known, "y", SAMPLE, ["id"]).select("id", "y", "rank")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.octet_length(F.col(text_col).cast("string")).alias("size"))
+    texts = texts.where(F.col("size") <= SAMPLE_BYTES // 4).join(F.broadcast(drawn), "id").select("y", "rank", F.xxhash64("text").alias("h"), "size", "text")
+    texts = written(texts, "toxicity-sample")
+    before = F.sum("size").over(Window.partitionBy("y").orderBy("rank", "h")) - F.col("size")
+    fit_in = texts.select("y", "rank", "h", "size").withColumn("before", before).where(F.col("before") < SAMPLE_BYTES // 4).select("y", "rank", "h")
+    rows = texts.join(F.broadcast(fit_in.distinct()), ["y", "rank", "h"]).select("text", "y").collect()
     rows.sort(key=lambda r: (r.text, r.y))
     return fit(as_bytes(r.text for r in rows), np.array([r.y for r in rows], float))
 
@@ -208,7 +229,8 @@ def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, ``score`` (0 to 1) and ``predicted`` per input row.
 
-    Null, empty and blank texts score by the bias alone.  Repeated rows stay, an
+    Null, empty and blank texts score by the bias alone.  Equal texts score equally; a
+    score of exactly ``threshold`` counts as toxic.  Repeated rows stay, an
     empty table gives an empty result, other columns are ignored.
     """
 
