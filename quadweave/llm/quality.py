@@ -194,7 +194,8 @@ def learn(docs: DataFrame, text_col: str = "text") -> Model:
     """Votes of all texts, posteriors, and the scorer; no labels are read.
 
     The patterns are at most 3 to the power of the labellers.  The scorer's texts
-    are drawn by their hash, so that copies count once or not at all.
+    are drawn by their hash at a rate of SAMPLE to the number of rows, so that copies
+    count once or not at all, and SAMPLE bounds the number expected.
     """
 
     @F.pandas_udf("string")
@@ -216,8 +217,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> Model:
     total = sum(counts.values())
     share = min(1.0, SAMPLE / total) if total else 1.0
     hashed = F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(share * (1 << 30))
-    # copies of a drawn text are merged; twice the expected number is far beyond chance
-    drawn = docs.select(text.alias("t")).where(F.col("t").isNotNull() & hashed).dropDuplicates(["t"]).limit(2 * SAMPLE)
+    drawn = docs.select(text.alias("t")).where(F.col("t").isNotNull() & hashed).dropDuplicates(["t"])
     sample = written(drawn.select(features("t").alias("f")).select("f.*"), "quality-sample").collect()
     rows = [(dict(zip(r.slots, r.vals, strict=True)), posterior.get(r.v, 0.5)) for r in sample if r.slots]
     rows.sort(key=lambda r: (r[1], sorted(r[0].items())))
