@@ -1,12 +1,16 @@
 """Near duplicates, contamination, quality, toxicity, language model, pipeline."""
 
+import base64
+import itertools
 import math
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 from conftest import rows_of
 from pyspark.sql import functions as F
 
@@ -90,6 +94,18 @@ def test_near_duplicates_odd(spark, odd):
     assert near_dedup.near_duplicates(odd.limit(0)).isEmpty()
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
+    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (None, a + " else"), (None, "alone in the world of texts"), (5, b), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicates(docs).collect()
+    assert len(got) == 8 and {(r.doc_id, r.component_id) for r in got} == {(5, 5), (7, 5), (8, 5), (None, 5), (None, None), (9, 9)}
+    kept = sorted((r.doc_id or 0, r.text or "") for r in near_dedup.one_of_each(docs).collect())
+    assert kept == sorted([(5, a), (5, b), (0, "alone in the world of texts"), (9, "")])
+    linked = spark.createDataFrame([(5, a), (5, a + " more"), (6, a)], "doc_id long, text string")
+    assert [r.doc_id for r in near_dedup.one_of_each(linked).collect()] == [5]
+
+
 def test_sketches_bound_pairs_at_the_threshold():
     rnd = np.random.default_rng(1)
     plan = near_dedup.Plan.of(3, 85)
@@ -149,6 +165,23 @@ def test_names_at_any_place_and_in_any_case(spark):
     assert leaked(spark, item, item.lower(), item.upper(), item.replace(" ", "  "), "so " + item.replace(" ", "\n\t")) == [0, 1, 2, 3]
 
 
+def test_contamination_of_odd_rows(spark, odd):
+    long = " ".join(f"w{i % 5000}" for i in range(60_000))
+    bench = spark.createDataFrame([(1, long[2000:2200]), (1, long[9000:9200]), (None, "one two"), (4, None), (5, "")], "item_id long, text string")
+    docs = odd.unionByName(odd.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long")))
+    got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(docs, bench).collect()}
+    assert set(got) == {(7, 1), (8, 1), (6, None), (None, None)} and all(r.coverage == 1 for r in got.values())
+    kept = decontamination.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5, 5]
+    # a phrase that many items share makes no candidates of documents that hold nothing else of them
+    shared = "please read the whole of the following question with great care"
+    own = ["".join(c * 3 for c in pair) for pair in itertools.product("abcdefgh", repeat=2)][:60]
+    asked = [f"{shared} {w} asks what {w}er of the {w}stones lies in the {w}river bed by {w}night" for w in own]
+    many = spark.createDataFrame(list(enumerate(asked)), "item_id long, text string")
+    texts = spark.createDataFrame([(1, shared), (2, asked[7])], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontamination.leaks(texts, many).collect()] == [(2, 7)]
+
+
 def test_items_of_few_literals_and_few_words(spark):
     names = "Did Isaac Newton, Robert Hooke, Edmond Halley, Gottfried Leibniz, Christiaan Huygens or Robert Boyle write Principia Mathematica?"
     assert leaked(spark, names, names, "He asked: " + names + " Nobody knew.", names.replace("Newton", "Barrow").replace("Hooke", "Wren").replace("Boyle", "Moray")) == [0, 1]
@@ -178,6 +211,39 @@ def test_quality_without_labels(spark, odd):
     assert quality.score(odd.limit(0), quality.learn(odd.limit(0))).isEmpty()
 
 
+def test_quality_against_plain_loops(spark):
+    rows = [(r.doc_id, r.text) for r in documents(spark, SMALL).select("doc_id", "text").collect()] + [(9001, None), (9002, ""), (9003, "word")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = Counter(quality.examine((t or "").encode())[0] for _, t in rows)
+    posterior, accuracy = quality.posteriors(counts)
+    good = {v: min(0.98, max(0.02, (v.count("1") + 1) / (v.count("1") + 8 * v.count("0") + 1.5))) for v in counts}
+    for _ in range(quality.ROUNDS):
+        table = {}
+        for c in (0, 1):
+            for k in range(len(quality.LABELLERS)):
+                n = {b: 0.5 + sum(w * (good[v] if c else 1 - good[v]) for v, w in counts.items() if v[k] == b) for b in "01"}
+                table[c, k] = {b: x / sum(n.values()) for b, x in n.items()} | {"-": 1.0}
+        prior = min(0.95, max(0.05, sum(w * good[v] for v, w in counts.items()) / sum(counts.values())))
+        good = {
+            v: 1 / (1 + math.exp(max(-60, min(60, sum(math.log(table[0, k][b] / table[1, k][b]) for k, b in enumerate(v)) + math.log((1 - prior) / prior)))))
+            for v in counts
+        }
+    assert all(math.isclose(posterior[v], good[v], rel_tol=1e-4, abs_tol=1e-9) for v in counts)
+    for k, share in enumerate(accuracy):
+        votes = sum(w for v, w in counts.items() if v[k] != "-")
+        right = sum(w * (good[v] if v[k] == "1" else 1 - good[v]) for v, w in counts.items() if v[k] != "-")
+        assert math.isclose(share, right / max(votes, 1), rel_tol=1e-3)
+    model = quality.learn(docs)
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    for i, t in rows:
+        votes, features = quality.examine((t or "").encode())
+        z = model.bias
+        for slot, value in features.items():
+            z += model.weights[slot] * math.sqrt(min(1.0, value))
+        want = 1 / (1 + math.exp(-max(-40, min(40, z)))) if features else 0.0
+        assert math.isclose(got[i].score, want, rel_tol=1e-9) and got[i].votes == votes and got[i].rejected == (want < 0.5)
+
+
 def test_posteriors_find_accurate_labellers():
     rnd = random.Random(0)
     counts = Counter()
@@ -225,6 +291,36 @@ def test_counterfactuals_quiet_identity_terms():
     assert toxicity.scores([b"w1 vermin w2"], fair)[0] > 0.7 > toxicity.scores(neutral, fair).max()
 
 
+def test_swaps_keep_language_kind_and_number():
+    other = toxicity.substitutes()
+    assert other[b"girls"] == b"boys" and other[b"rich"] == b"poor" and other["niñas".encode()] == "niños".encode() and other[b"frauen"] == "männer".encode()
+    kinds = {t: k for k in reversed(toxicity.IDENTITY) for t in k.encode().split()}
+    assert all(to in kinds[t].encode().split() and to != t for t, to in other.items())
+    found = toxicity.swaps(["Les femmes et le chat".encode(), b"girls, girls"])
+    assert found[:2] == [(0, b"femmes", b"hommes"), (1, b"girls", b"boys")] and all(i == -1 for i, *_ in found[2:])
+
+
+def test_toxicity_against_plain_descent(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choices("alpha beta gamma delta epsilon".split(), k=6)) + (" vermin" if i % 4 == 0 else "")) for i in range(80)]
+    docs = spark.createDataFrame([*rows, (900, "vermin"), (901, None), (902, "")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows] + [(900, 0), (900, 1), (901, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, marks)  # 900 has both labels
+    assert model.features.tolist() == toxicity.fit([t.encode() for _, t in rows], np.array([float(i % 4 == 0) for i, _ in rows])).features.tolist()
+    scores = {r.doc_id: r for r in toxicity.classify(docs, model).collect()}
+    for i, text in [*rows, (900, "vermin"), (901, ""), (902, "")]:
+        hashes = set()
+        for word in text.split():
+            own, _ = toxicity.hashed_words([word.encode()], toxicity.PREFIXES)
+            hashes |= {int(h) for h in own[0] if h}
+        z = model.bias + sum(w for f, w in zip(model.features.tolist(), model.weights, strict=True) if f in hashes)
+        assert math.isclose(scores[i].score, 1 / (1 + math.exp(-z)), rel_tol=1e-9) and scores[i].predicted == int(scores[i].score >= 0.7)
+    assert all(scores[i].predicted == int(i % 4 == 0) for i, _ in rows)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 4000)
+    few = toxicity.learn(docs, marks)
+    assert 0 < len(few.features) <= len(model.features)
+
+
 def test_rare_toxic_words_survive_shared_buckets(monkeypatch):
     texts = [b"common words here %d" % (i % 7) + (b" vermin" if i < 20 else b"") for i in range(200)]
     target = np.array([i < 100 for i in range(200)], float)
@@ -333,8 +429,12 @@ def test_pipeline_stages_against_brute_force(spark):
     left = {r.doc_id for r in four.collect()}
     assert not [i for i in left if any(b in rows[i].text for b in bench)] and four.columns == docs.columns
     assert len(left) >= 0.9 * three.count()
-    last = corpus_pipeline.run(spark, sf)
-    assert {r.doc_id for r in last.collect()} == left
+    last = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    assert last.keys() == left
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert all(r.ids == library.encode_ordinary(rows[i].text) and r.n_tokens == len(r.ids) for i, r in last.items())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "language", "near_dedup", "decontamination", "encode"]
 
 

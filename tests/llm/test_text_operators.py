@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import unicodedata
 import zlib
@@ -95,6 +96,17 @@ def test_op1_against_brute_force(spark):
         assert r.near_next == float(fingerprints.canonical(t) == fingerprints.canonical(following))
 
 
+def test_rows_that_repeat_an_id_keep_their_own_fingerprints(spark, tmp_path):
+    rows = [(1, "one"), (2, "two"), (2, "three"), (3, "Two"), (None, "one"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op1_fingerprints"](spark, str(tmp_path)).collect()
+    want = {"one": 1, "two": 2, "three": 2, "": None}
+    assert sorted((r.fingerprint, r.group_id or 0) for r in got) == sorted((fingerprints.digest(t.lower().encode()), want[t.lower()] or 0) for t in ("one", "two", "three", "Two", "one", ""))
+    got = fingerprints.fingerprint(docs).collect()
+    assert len(got) == 6 and {(r.doc_id, r.group_id) for r in got} == {(1, 1), (2, 2), (3, 2), (None, 1), (None, None)}
+
+
 def test_edits_of_odd_rows(spark, odd):
     got = fingerprints.edits(odd).collect()
     assert len(got) == odd.count()
@@ -128,13 +140,39 @@ def test_sharding_law(spark):
 
 def test_sharding_splits_hot_groups_only(spark, odd):
     rows = [(i, "copy") for i in range(900)] + [(1000 + i, f"own {i // 2}") for i in range(600)]
-    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=4, parcels=16).toPandas()
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=4, task_groups=50).toPandas()
     counts = got.groupby("shard").doc_id.count()
     assert len(counts) == 4 and counts.max() <= 1.1 * counts.mean()
+    places = got.groupby("text_crc32").shard.nunique()
+    assert places[zlib.crc32(b"copy")] > 1 and (places.drop(zlib.crc32(b"copy")) == 1).all()
+    some = {r.doc_id: r for r in sharding.shard(odd, shards=3).collect()}
     assert sharding.shard(odd, shards=3).count() == odd.count()
+    assert (some[1].size, some[1].n_words, some[2].size) == (16, 0, 16) and some[4].size == len(LONG) + 16 and some[None].n_words == 2
     assert sharding.shard(odd.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_sharding_keeps_equal_texts_together(spark, scale):
+    docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+    got = sharding.shard(docs).join(docs.select("doc_id", "text"), "doc_id").toPandas()
+    assert (got.groupby("text").shard.nunique() == 1).all()
+    sizes = got.groupby("shard")["size"].sum()
+    assert sizes.max() <= 1.05 * sizes.mean()
+
+
+def test_packing_against_brute_force():
+    rnd = random.Random(6)
+    items = [[rnd.randrange(1, 900), rnd.randrange(1, 90), 1] for _ in range(300)]
+    totals = [sum(c) for c in zip(*items, strict=True)]
+    free, want = [[1.0, 1.0, 1.0] for _ in range(7)], {}
+    loads = {i: [x / t * 7 for x, t in zip(item, totals, strict=True)] for i, item in enumerate(items)}
+    for i in sorted(loads, key=lambda i: (-max(loads[i]), i)):
+        dots = [sum(a * b for a, b in zip(f, loads[i], strict=True)) for f in free]
+        want[i] = max(range(7), key=lambda s: (round(dots[s], 12), -s))
+        free[want[i]] = [a - b for a, b in zip(free[want[i]], loads[i], strict=True)]
+    assert sharding.pack(np.array(items, float), 7).tolist() == [want[i] for i in range(300)]
+
+
 @pytest.fixture(scope="module")
 def reference():
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(RANKS, "rb"))}
@@ -218,6 +256,33 @@ def test_language_accuracy_and_edges(spark, odd):
     assert language_id.keep(odd, model).columns == odd.columns
 
 
+def test_language_against_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in documents(spark, SMALL).select("doc_id", "text").limit(60).collect()]
+    rows += [(10_001, "zzz"), (10_002, "q"), (10_003, "12 34")]
+    model = language_id.learn(documents(spark, SMALL))
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    kept = {r.doc_id for r in language_id.keep(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        sizes = {}
+        for lang, content in sorted(model.items()):
+            own = language_id.zstandard.ZstdCompressionDict(content, dict_type=language_id.zstandard.DICT_TYPE_RAWCONTENT)
+            params = language_id.zstandard.ZstdCompressionParameters(
+                window_log=18, hash_log=13, chain_log=13, search_log=4, min_match=4, target_length=32,
+                strategy=language_id.zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0,
+            )
+            raw = language_id.letters(text)
+            sizes[lang] = sum(
+                len(language_id.zstandard.ZstdCompressor(dict_data=own, compression_params=params).compress(bytes(256) + raw[k : k + 4096])) for k in range(0, len(raw), 4096)
+            )
+        least, after = sorted(sizes.values())[:2]
+        if i == 10_003:
+            assert (got[i].lang_pred, got[i].rejected) == ("und", True)
+            continue
+        assert got[i].lang_pred == min(sizes, key=lambda k: (sizes[k], k))
+        assert math.isclose(got[i].margin, (after - least) / after) and got[i].rejected == (got[i].margin <= language_id.MARGIN) == (i not in kept)
+    assert got[10_002].rejected  # a tie, however short the text
+
+
 def test_dictionaries_of_long_short_and_repeated_texts(spark):
     rows = [(i, f"one{i} " * 3000, "long") for i in range(3)] + [(9, "tiny", "short")]
     rows += [(100 + i, "the same text again and again, in all of the copies", "copies") for i in range(300)]
