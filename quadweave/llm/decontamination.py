@@ -97,13 +97,14 @@ def valued(text: Column) -> Column:
     return F.array_join(F.transform(words(text), lambda x: F.when(_is_first(x), _bare(x)).otherwise(x)), " ")
 
 
-def _hashes(some: Column) -> Column:
-    """Per word its hashes: plain, and by the template."""
+def _plain_hashes(some: Column) -> Column:
+    return F.transform(some, lambda x: F.xxhash64(_bare(x)))
 
+
+def _template_hashes(some: Column) -> Column:
     def one(x: Column) -> Column:
         marker = F.when(x < NUMBER, F.xxhash64(F.lit(NAME))).when(x < UNIT, F.xxhash64(F.lit(NUMBER))).otherwise(F.xxhash64(F.lit(UNIT)))
-        literal = F.struct(F.xxhash64(x).alias("p"), F.xxhash64(x).alias("t"))
-        return F.when(x >= " ", literal).otherwise(F.struct(F.xxhash64(_bare(x)).alias("p"), marker.alias("t")))
+        return F.when(x >= " ", F.xxhash64(x)).otherwise(marker)
 
     return F.transform(some, one)
 
@@ -111,7 +112,7 @@ def _hashes(some: Column) -> Column:
 def _joined(a: Column, b: Column, k: int) -> Column:
     """Hashes of the runs in ``a`` with those in ``b`` that begin ``k`` words later."""
     n = F.greatest(F.size(b) - k, F.lit(0))
-    return F.zip_with(F.slice(a, 1, n), F.slice(b, k + 1, n), lambda x, y: F.struct(*[F.xxhash64(x[c], y[c]).alias(c) for c in "pt"]))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, k + 1, n), lambda x, y: F.xxhash64(x, y))
 
 
 def _runs(hashes: Column, size: int) -> Column:
@@ -125,8 +126,11 @@ def _runs(hashes: Column, size: int) -> Column:
 
 
 def _windows(some: Column, size: int) -> Column:
-    """Hashes of all runs of ``size`` words."""
-    return _let(_hashes(some), lambda h: _runs(h, size))
+    """Hashes of all runs of ``size`` words: pairs of ``p`` (plain) and ``t`` (template)."""
+    return _let(
+        some,
+        lambda w: F.arrays_zip(_let(_plain_hashes(w), lambda h: _runs(h, size)).alias("p"), _let(_template_hashes(w), lambda h: _runs(h, size)).alias("t")),
+    )
 
 
 def _distinct(x: Column) -> Column:
@@ -168,26 +172,39 @@ def _document_hashes(own: DataFrame, short: list[int], window: int, literals: in
     A template of a shorter window counts only where it is the whole document, too.
     """
 
-    def every(h: Column) -> Column:
-        runs = [F.transform(_runs(h, window), _distinct)]
+    def every(w: Column) -> Column:
+        runs = [F.transform(_windows(w, window), _distinct)]
         for n in short:
-            whole = F.when(F.size(h) == n, F.transform(_runs(h, n), _distinct))
-            runs.append(whole.otherwise(F.transform(_runs(h, n), lambda x: F.array(x["p"])) if n >= literals else F.array().cast("array<array<bigint>>")))
+            whole = F.when(F.size(w) == n, F.transform(_windows(w, n), _distinct))
+            runs.append(whole.otherwise(F.transform(_let(_plain_hashes(w), lambda h: _runs(h, n)), lambda h: F.array(h)) if n >= literals else F.array().cast("array<array<bigint>>")))  # noqa: B023
         return F.array(*runs)
 
     if not short:
         lists = own.select("key", F.posexplode(_windows(F.col("words"), window)).alias("pos", "x"))
         return lists.select("key", "pos", F.explode(_distinct(F.col("x"))).alias("h"))
-    sizes = own.select("key", F.explode(_let(_hashes(F.col("words")), every)).alias("runs"))
+    sizes = own.select("key", F.explode(_let(F.col("words"), every)).alias("runs"))
     return sizes.select("key", F.posexplode("runs").alias("pos", "hs")).select("key", "pos", F.explode("hs").alias("h"))
 
 
-def _by_templates(found: DataFrame, own: DataFrame, items: DataFrame, window: int) -> DataFrame:
+def _template_matches(hits: DataFrame, index: DataFrame) -> DataFrame:
+    """``key, item, at, pos, narrow, wide``: places where a template of an item stands in a document.
+
+    A template that an item holds several times could stand for each of them at every
+    place; it counts only along alignments on which one that the item holds once stands, too.
+    """
+    index = index.join(index.groupBy("item", "h").agg(F.count("*").alias("times")), ["item", "h"])
+    once = hits.join(index.where("times = 1"), ["item", "h"]).select("key", "item", "at", "pos", "narrow", "wide").distinct()
+    along = once.select("key", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
+    again = along.join(index.where("times > 1"), "item").withColumn("pos", F.col("at") + F.col("shift"))
+    return once.unionByName(again.join(hits.distinct(), ["key", "item", "pos", "h"]).select(once.columns))
+
+
+def _by_templates(found: DataFrame, texts: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """``key, item, at, shift, kind, z`` (pairs of words) of template matches; a word at a sentence's beginning is a name in wide ones only."""
     keys = found.select("key").distinct()
     if keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         keys = F.broadcast(keys)
-    ours = own.join(keys, "key", "left_semi").select("key", F.col("words").alias("got")).dropDuplicates(["key"])
+    ours = texts.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", words(F.col("text")).alias("got"))
     z = F.arrays_zip(F.slice("got", F.col("pos") + 1, window).alias("got"), F.slice("words", F.col("at") + 1, window).alias("own"))
     firm = F.forall("z", lambda z: ~(_is_first(z["got"]) | _is_first(z["own"])) | (_bare(z["got"]) == _bare(z["own"])))
     kinds = F.array_compact(F.array(F.when(F.col("narrow") & firm, NARROW), F.when(F.col("wide"), WIDE)))
@@ -213,24 +230,26 @@ def _conflicts(matched: DataFrame) -> DataFrame:
     )
 
 
-def _read(table: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
-    """``key`` (id and hash of the text, so that rows of one id are told apart) and ``words`` of each row."""
+def _texts(table: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """``key`` (id and hash of the text, so that rows of one id are told apart) and ``text`` of each row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return table.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text")).alias(key), words(text).alias("words"))
+    return table.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text")).alias(key), text.alias("text"))
 
 
 def _pairs(
     docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, literals: int, coverage: float, broadcast_windows: int
 ) -> DataFrame:
-    """What ``leaks`` returns, by ``key`` and ``item`` as ``_read`` makes them."""
-    items = written(_read(benchmark, item_col, item_text_col, "item").where(F.size("words") > 0).dropDuplicates(["item"]), "benchmark-words")
+    """What ``leaks`` returns, by ``key`` and ``item`` as ``_texts`` makes them."""
+    items = _texts(benchmark, item_col, item_text_col, "item").dropDuplicates(["item"]).select("item", words(F.col("text")).alias("words"))
+    items = written(items.where(F.size("words") > 0), "benchmark-words")
     index = written(_index(items, window, literals), "benchmark-windows")
     totals = index.groupBy("item").agg(F.countDistinct("at").cast("long").alias("windows"))
     short = sorted(r.n for r in items.select(F.size("words").alias("n")).where(F.col("n") < window).distinct().collect())  # fewer than window numbers
     hashes = index.select("h").distinct()
     if hashes.limit(broadcast_windows + 1).count() <= broadcast_windows:
         hashes = F.broadcast(hashes)
-    own = _read(docs, id_col, text_col, "key")
+    texts = _texts(docs, id_col, text_col, "key")
+    own = texts.select("key", words(F.col("text")).alias("words"))
     met = written(_document_hashes(own, short, window, literals).join(hashes, "h"), "template-windows")
     # an item's rarest windows, so many that no document can hold the share asked for without one of them
     shared = index.join(index.groupBy("h").agg(F.countDistinct("item").alias("items")), "h").groupBy("item", "at").agg(F.max("items").alias("items"))
@@ -238,9 +257,12 @@ def _pairs(
     rare = shared.withColumn("rank", rank).join(totals, "item").where(F.col("rank") <= F.col("windows") - F.greatest(F.ceil(F.col("windows") * coverage), F.lit(1)) + 1)
     probes = index.join(rare.select("item", "at"), ["item", "at"]).select("item", "h").distinct()
     likely = met.join(probes, "h").select("key", "item").distinct()
-    found = written(met.join(likely, "key").join(index, ["item", "h"]).drop("h").distinct(), "window-matches")
-    by_templates = written(_by_templates(found.where("narrow or wide"), own, items, window), "template-matches")
-    found = found.where("plain").select("key", "item", "at", (F.col("pos") - F.col("at")).alias("shift"), F.lit(PLAIN).alias("kind")).unionByName(by_templates.drop("z"))
+    hits = written(met.join(likely, "key"), "window-hits")
+    equal = hits.select("key", "item", "h").distinct().join(index.where("plain"), ["item", "h"]).select("key", "item", "at").distinct()
+    matches = written(_template_matches(hits, index.where("narrow or wide").drop("plain")), "template-hits")
+    by_templates = written(_by_templates(matches, texts, items, window), "template-matches")
+    nowhere = F.lit(None).cast("int")
+    found = equal.select("key", "item", "at", nowhere.alias("shift"), F.lit(PLAIN).alias("kind")).unionByName(by_templates.drop("z"))
     return (
         found.join(_conflicts(by_templates), ["key", "item", "shift", "kind"], "left")
         .groupBy("key", "item")
@@ -270,7 +292,8 @@ def leaks(
     ``conflicts`` (alignments of which templates were dropped because a slot value
     stood for two values) and ``coverage`` = matched / windows, at least the given
     share.  Every window of an item counts; those with fewer than ``literals``
-    literal words are found by their plain words only.  An item shorter than a
+    literal words are found by their plain words only, and so is an item all of whose
+    templates it holds more than once.  An item shorter than a
     window is one window of its own length, found inside documents by its plain
     words, and by its template where it is the whole document; of fewer than
     ``literals`` words it is found only as a whole document.  Null and empty

@@ -139,7 +139,9 @@ sizes AS (SELECT DISTINCT len(vs) AS n FROM iq),
 dq AS (SELECT id, pos, list_slice(ws, pos + 1, pos + n) AS got, n = {d.WINDOW} OR n = len(ws) AS templates
   FROM (SELECT id, ws, n, unnest(range(0, len(ws) - n + 1)) AS pos FROM dw, sizes WHERE n >= {d.LITERALS} OR n = len(ws))),
 every AS (SELECT *, {run("got", False)} AS plain, CASE WHEN templates THEN {run("got", True)} END AS template FROM dq),
-by_templates AS (SELECT id, item, ipos, pos - ipos AS shift, narrow, wide, list_zip(got, vs) AS z FROM every JOIN index USING (template) WHERE narrow OR wide),
+templates AS (SELECT *, count(*) OVER (PARTITION BY item, template) AS times FROM index WHERE narrow OR wide),
+stand AS (SELECT id, item, ipos, pos - ipos AS shift, times, narrow, wide, list_zip(got, vs) AS z FROM every JOIN templates USING (template)),
+by_templates AS (SELECT * FROM stand s WHERE times = 1 OR EXISTS (SELECT 1 FROM stand o WHERE o.times = 1 AND o.id = s.id AND o.item = s.item AND o.shift = s.shift)),
 kinds AS (
   SELECT id, item, ipos, shift, {d.NARROW} AS kind, z FROM by_templates WHERE narrow AND len(list_filter(z, lambda x: {loose})) = 0
   UNION ALL SELECT id, item, ipos, shift, {d.WIDE}, z FROM by_templates WHERE wide),
