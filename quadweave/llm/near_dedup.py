@@ -8,17 +8,20 @@ bucket that are still in different components are compared, in blocks.  Both
 steps drop pairs by *odd sketches*: the samples are folded into a parity bitmap,
 and the population count of two bitmaps' XOR bounds the share of samples in which
 they differ.  The second step adds a finer sketch of more samples, made for the
-members still in question.  What is left is confirmed on the full shingle sets.
+members still in question.  What is left is confirmed on the full shingle sets, in
+the second step inside the block: pairs never become rows, only members that have
+a candidate, and links that join two components of a block.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +36,10 @@ SKETCH_BITS = 256
 FINE_SAMPLES, FINE_BITS = 1536, 2048
 #: Members of a bucket that are compared with each other in one block.
 BLOCK = 512
+#: Shingles of a bucket that make one block at most (on average): a worker holds two blocks.
+BLOCK_SHINGLES = 1 << 20
+#: Pairs whose fine sketches are compared at once.
+PAIRS = 1 << 15
 #: Ids up to which they are sent to all executors (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Bytes of text for which one worker holds shingles at a time.
@@ -216,6 +223,135 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     )
 
 
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Tables that hold whole blocks, and the blocks' places, of rows sorted by ``band``, ``i`` and ``j``."""
+
+    def keys(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+        return np.stack([rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) if isinstance(rows, pa.RecordBatch) else rows.column(c).to_numpy().astype(np.int64) for c in ("band", "i", "j")])
+
+    def placed(held: list[pa.RecordBatch]) -> tuple[pa.Table, list[tuple[int, int]]]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = keys(table)
+        at = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), table.num_rows]
+        return table, list(zip(at[:-1], at[1:], strict=True))
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = keys(batch)
+        if held and (key[:, 0] != last).any():
+            yield placed(held)
+            held = []
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+        if len(cuts):
+            yield placed([*held, batch.slice(0, int(cuts[-1]))])
+            held = [batch.slice(int(cuts[-1]))]
+        else:
+            held.append(batch)
+        last = key[:, -1]
+    if held:
+        yield placed(held)
+
+
+def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a column of lists."""
+    column = table.column(name).combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+
+
+def _sides(own: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members to compare: those of block ``i`` with those of ``j``."""
+    return np.flatnonzero(own == i), np.flatnonzero(own == j)
+
+
+def _with_candidates(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps the members of a block that sizes and sketches allow to be linked with a member of another component.
+
+    A pair counts in the first band that it shares only.
+    """
+    limit = sketch_limit(FINE_SAMPLES, FINE_BITS, plan.percent / 100)
+
+    def marks(t: dict, lo: int, hi: int) -> np.ndarray:
+        band, i, j = (int(t[c][lo]) for c in ("band", "i", "j"))
+        left, right = _sides(t["own"][lo:hi], i, j)
+        out = np.zeros(hi - lo, bool)
+        if not len(left) or not len(right):
+            return out
+        n, root, coarse, fine, bands = (t[c][lo:hi] for c in ("n", "root", "s", "f", "bands"))
+        step = max(1, PAIRS // len(right))
+        for k in range(0, len(left), step):
+            x, y = left[k : k + step, None], right[None, :]
+            some = (root[x] != root[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * plan.percent)
+            if i == j:
+                some &= x < y
+            a, b = np.nonzero(some)
+            a, b = left[k + a], right[b]
+            for sketch, most in ((coarse, plan.sketch_limit), (fine, limit)):
+                near = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64) <= most
+                a, b = a[near], b[near]
+            shared = bands[a] == bands[b]
+            first = np.where(shared, bands[a], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == band
+            out[a[first]] = out[b[first]] = True
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, blocks in _whole_blocks(batches):
+            rows = table.num_rows
+            t = {c: table.column(c).to_numpy() for c in ("band", "i", "j", "own", "id", "root", "n")}
+            t["s"] = np.stack([table.column(f"s{k}").to_numpy() for k in range(4)], axis=1).view(_U)
+            t["f"], t["bands"] = (_lists(table, c)[0].reshape(rows, -1) for c in ("f", "bands"))
+            t["f"] = t["f"].view(_U)
+            kept = np.concatenate([marks(t, lo, hi) for lo, hi in blocks])
+            if kept.any():
+                yield from table.select(["band", "i", "j", "own", "id", "root"]).filter(pa.array(kept)).to_batches()
+
+    return run
+
+
+def _links_of_block(plan: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links (a, b) of a block on its members' full sets: those that join two of its components, so fewer than members."""
+
+    def links(own: np.ndarray, i: int, j: int, root: np.ndarray, values: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+        n = np.diff(at)
+        label = np.unique(root, return_inverse=True)[1]
+        number = np.unique(values[at[0] : at[-1]], return_inverse=True)[1]
+        at = at - at[0]
+        held = np.zeros(len(number), np.uint8)
+        left, right = _sides(own, i, j)
+        for x in left:
+            other = right[(label[right] != label[x]) & (np.minimum(n[x], n[right]) * 100 >= np.maximum(n[x], n[right]) * plan.percent)]
+            if i == j:
+                other = other[other > x]
+            if not len(other):
+                continue
+            mine = number[at[x] : at[x + 1]]
+            held[mine] = 1
+            same = np.add.reduceat(held[np.concatenate([number[at[y] : at[y + 1]] for y in other])], np.cumsum([0, *n[other][:-1]]), dtype=np.int64)
+            held[mine] = 0
+            for y in other[same * 100 >= (n[x] + n[other] - same) * plan.percent]:
+                if label[x] != label[y]:
+                    label[label == label[y]] = label[x]
+                    yield x, y
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, blocks in _whole_blocks(batches):
+            i, j, own, ids, root = (table.column(c).to_numpy() for c in ("i", "j", "own", "id", "root"))
+            values, at = _lists(table, "items")
+            found = [
+                (min(ids[lo + x], ids[lo + y]), max(ids[lo + x], ids[lo + y]))
+                for lo, hi in blocks
+                for x, y in links(own[lo:hi], i[lo], j[lo], root[lo:hi], values, at[lo : hi + 1])
+            ]
+            if found:
+                a, b = (pa.array(np.array(c, np.int64)) for c in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
 ) -> DataFrame:
@@ -252,8 +388,15 @@ def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     )
     reps = signed.join(classes.select(F.col("id").alias("row")), "row").withColumnRenamed("row", "id")
     sketches = ["id", "n", "s0", "s1", "s2", "s3"]
-    banded = reps.select(F.explode("bands").alias("band"), *sketches[:1])
-    buckets = banded.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
+    banded = reps.select(F.explode("bands").alias("band"), *sketches[:2])
+    weight = F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)
+    buckets = (
+        banded.groupBy("band")
+        .agg(F.min("id").alias("leader"), F.count("*").alias("members"), F.ceil(weight).cast("int").alias("blocks"))
+        .where("members > 1")
+        .drop("members")
+    )
+    banded = banded.drop("n")
     members = written(banded.join(buckets, "band"), "buckets")
     involved = members.select("id").distinct()
     light = written(reps.select(*sketches).join(involved, "id", "left_semi"), "sketches")
@@ -285,7 +428,7 @@ def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     # members of a bucket that are still apart, block against block
     placed = (
         members.join(found.withColumnRenamed("node", "id"), "id", "left")
-        .select("band", "id", "members", F.coalesce("root", "id").alias("root"))
+        .select("band", "id", "blocks", F.coalesce("root", "id").alias("root"))
     )
     apart = (
         placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
@@ -311,30 +454,20 @@ def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     open_ids = open_members.select("id").distinct()
     finer = written(sets.join(open_ids, "id", "left_semi").select("id", fine("items").alias("f")), "fine-sketches")
     marked = reps.join(open_ids, "id", "left_semi").select(*sketches, "bands").join(finer, "id")
-    blocks = F.ceil(F.col("members") / block).cast("int")
     spread = (
         open_members.join(marked, "id")
-        .withColumn("blocks", blocks)
         .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
         .select("band", "i", "j", "own", "root", "f", "bands", *sketches)
     )
-    differ = F.aggregate(F.zip_with("x.f", "y.f", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    # a pair counts in the first band that it shares only
-    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.band")
-    near = differ <= sketch_limit(FINE_SAMPLES, FINE_BITS, percent / 100)
-    x, y = spread.alias("x"), spread.alias("y")
-    same_block = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    meet_once = (F.col("x.own") != F.col("y.own")) | (F.col("x.i") == F.col("x.j"))
-    second = (
-        x.join(y, same_block & meet_once & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _alike(plan) & near & once)
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
-    )
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(_confirmed(second.join(tested, ["a", "b"], "left_anti"), sets, plan), "links")
+    place = ["band", "i", "j"]
+    lone = "band long, i int, j int, own int, id long, root long"
+    candidates = spread.repartition(*place).sortWithinPartitions(*place).mapInArrow(tidied(_with_candidates(plan)), lone)
+    whole = written(candidates, "candidates").join(sets, "id")
+    linked = whole.repartition(*place).sortWithinPartitions(*place).mapInArrow(tidied(_links_of_block(plan)), "a long, b long")
+    more = written(linked.distinct(), "links")
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     rooted = classes.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -82,6 +82,33 @@ def test_near_duplicates_against_brute_force(spark, words, percent, block):
     assert all(got[i].kept == (want[i] == i) for i in got)
 
 
+def test_near_duplicates_of_a_large_group_list_no_pairs(spark, monkeypatch):
+    # copies with three edits are linked, but their buckets are led by ones with five, which are too far from all
+    rnd = random.Random(5)
+    base = [f"v{i}" for i in range(300)]
+    texts = []
+    for edits in [5] * 24 + [3] * 96:
+        w = list(base)
+        for at in rnd.sample(range(10, 290, 7), edits):
+            w[at] = f"e{rnd.randrange(10**6)}"
+        texts.append(" ".join(w))
+    counts = []
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "links":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (512, 50):
+        counts.clear()
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 5, 80, block=block).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_components(texts, 5, 80)[0]
+        assert len(counts) == 2 and counts[0] < 10 and 0 < counts[1] <= 10 * len(texts)
+
+
 def test_near_duplicates_odd(spark, odd):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
