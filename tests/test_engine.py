@@ -16,6 +16,7 @@ from quadweave.mapping.rewrite import COST_LIMIT, eliminate_joins, join_report,
 from quadweave.operators import changes, commit, diff, graph, metrics, partition
 from quadweave.plans import refresh
 from quadweave.sources import logs, nquads, snapshots
+from quadweave.tables import written
 
 
 def column(spark, values, kind="string"):
@@ -379,3 +380,19 @@ def test_windowed_stream(spark, tmp_path):
     q = counts.writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == source.count()
+
+
+def test_quads_of_a_map_without_joins_are_not_shuffled(spark):
+    rows = spark.createDataFrame([("1", "a", "x"), ("1", "b", "x"), ("2", "", None)], "k string, v string, w string")
+    m = TriplesMap("m", "t", Template("http://x/{k}"), (PredicateObjects("http://p/v", (Reference("v"),)), PredicateObjects("http://p/w", (Reference("w"),))))
+    made = compile_mapping(Mapping.of([m]), {"t": rows})
+    assert sorted((r.s, r.p, r.o) for r in made.collect()) == [("http://x/1", "http://p/v", "a"), ("http://x/1", "http://p/v", "b"), ("http://x/1", "http://p/w", "x")]
+    shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1])
+    assert len(shuffles) == 1 and shuffles[0].startswith("subject of row")
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    assert tracker.shuffleStatuses().size() <= before
