@@ -391,6 +391,13 @@ def test_quads_of_a_map_without_joins_are_not_shuffled(spark):
     assert len(shuffles) == 1 and shuffles[0].startswith("subject of row")
 
 
+def test_graph_difference_is_of_bags(spark):
+    quad = ("s", "p", "o", "iri", None)
+    a, b = (spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_datatype string") for rows in ([quad, quad, ("t", *quad[1:])], [quad, ("u", *quad[1:])]))
+    assert tuple(graph.difference(a, b).first()) == (2, 1) and tuple(graph.difference(a, a).first()) == (0, 0)
+    assert tuple(graph.difference(a.limit(0), b.limit(0)).first()) == (0, 0)
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
     before = tracker.shuffleStatuses().size()
