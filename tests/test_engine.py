@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadweave import fixtures as fx
+from quadweave import queries
 from quadweave.functions import scalars, terms
 from quadweave.mapping import turtle
 from quadweave.mapping.compile import compile_mapping
@@ -427,6 +428,41 @@ def test_graph_difference_is_of_bags(spark):
     assert tuple(graph.difference(a.limit(0), b.limit(0)).first()) == (0, 0)
 
 
+@pytest.mark.parametrize("size", [0, 64 << 20])
+def test_deletion_loss_counts_quads_of_all_properties(spark, monkeypatch, size):
+    monkeypatch.setattr(graph, "BROADCAST_BYTES", size)
+    columns = "trip_id string, stop_id string, supplier_id string, stop_sequence string, arrival_time string, departure_time string, pickup_type string, headsign string, distance string"
+    time = ("00:00:01", "00:00:02")
+    stays = [("1", "1", "a", "1", *time, "N", "", "5"), ("1", "1", "b", "2", *time, "R", "O", None), ("3", "1", "a", "3", *time, "", "O", "6"), ("4", "9", "a", "4", *time, "N", "O", "7")]
+    before = spark.createDataFrame([*stays, ("1", "1", "c", "1", *time, "A", "F", "8"), ("3", "1", "c", "3", *time, "A", "F", "9"), ("2", "2", "c", "3", *time, "A", "F", "9")], columns)
+    after = spark.createDataFrame([*stays, ("1", "1", "c", "1", *time, "A", "F", "9"), ("9", "1", "c", "1", *time, "A", "F", "8")], columns)
+    parents = {"trips": spark.createDataFrame([("1",), ("2",), ("4",), ("",)], "trip_id string"), "stops": spark.createDataFrame([("1",), ("2",)], "stop_id string")}
+    found = diff.diff(before, after, fx.KEYS)
+    mapping = eliminate_joins(fx.MAPPING.narrowed(["stoptimes"]))
+    stale = graph.subjects(mapping.one("stoptimes"), diff.stale_rows(found))
+
+    def quads(rows):
+        return compile_mapping(mapping, {"stop_times": rows, **parents})
+
+    want = graph.difference(quads(after), graph.apply_by_subject(quads(before), stale, quads(diff.delta_rows(found))).distinct()).first().asDict()
+    m, rows = graph.links_as_columns(mapping.one("stoptimes"), mapping, parents, [before, after, diff.delta_rows(found)])
+    assert graph.deletion_loss(m, rows[0], rows[1], stale, rows[2]).first().asDict() == want
+    # of 1-1: a's distance and pickup type, b's sequence and pickup type, headsign O; all of 3-1, which has no trip
+    assert want == {"missing": 5 + 7, "extra": 0}
+    with pytest.raises(ValueError):
+        graph.links_as_columns(fx.MAPPING.one("routes"), fx.MAPPING, {}, [])
+
+
+def test_overdeletion_covers_the_whole_map(spark):
+    before, after = (df.persist() for df in queries._snapshots(spark, "/root/testdata/sf0.001"))
+    found = diff.diff(before, after, fx.KEYS)
+    mapping = fx.MAPPING.narrowed(["stoptimes"])
+    parents = fx.tables(spark, "/root/testdata/sf0.001", "trips", "stops")
+    base, full, added = (compile_mapping(mapping, {"stop_times": rows, **parents}) for rows in (before, after, diff.delta_rows(found)))
+    want = graph.difference(full, graph.apply_by_subject(base, graph.subjects(mapping.one("stoptimes"), diff.stale_rows(found)), added).distinct())
+    assert queries.overdeletion(spark, "/root/testdata/sf0.001").first().asDict() == want.first().asDict()
+
+
 def test_written_tables_leave_no_shuffle_files(spark):
     tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
     before = tracker.shuffleStatuses().size()
